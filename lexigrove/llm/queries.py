@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrove.llm import decontamination, mixing
+from lexigrove.llm import decontamination, mixing, sharding, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,16 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_table(spark, sf_dir, "documents")).withColumn("target", F.round("target", 6))
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 highest inner products of every vector whose id is divisible by 50, against all vectors."""
+    return topk.top_k(topk.scaled(_table(spark, sf_dir, "embeddings")))
+
+
+def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of near equal bytes."""
+    return sharding.shards(_table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of ten-word benchmark windows in all documents."""
     return decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -24,10 +34,13 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix": op1_mix,
+    "op3_topk": op3_topk,
+    "op5_shard": op5_shard,
     "op6_decontaminate": op6_decontaminate,
 }
 
 ORACLE_SQL = {
     "op1_mix": mixing.ORACLE_SQL,
+    "op3_topk": topk.ORACLE_SQL,
     "op6_decontaminate": decontamination.ORACLE_SQL,
 }
