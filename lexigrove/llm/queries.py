@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrove.llm import decontamination, mixing, sharding, topk
+from lexigrove.llm import decontamination, language_id, lm_scoring, mixing, near_duplicates, quality, sharding, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_table(spark, sf_dir, "documents")).withColumn("target", F.round("target", 6))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy difference of all documents; the target are the documents labelled as good."""
+    return lm_scoring.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 highest inner products of every vector whose id is divisible by 50, against all vectors."""
     return topk.top_k(topk.scaled(_table(spark, sf_dir, "embeddings")))
@@ -32,11 +37,30 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from three quarters of the labelled ones."""
+    return language_id.language_report(_table(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learned from four fifths of the labelled ones."""
+    return quality.quality_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_mix": op1_mix,
+    "op2_lm_score": op2_lm_score,
     "op3_topk": op3_topk,
     "op5_shard": op5_shard,
     "op6_decontaminate": op6_decontaminate,
+    "op7_near_duplicates": op7_near_duplicates,
+    "op9_language": op9_language,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL = {
