@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrove.llm import decontamination, language_id, lm_scoring, mixing, near_duplicates, quality, sharding, topk
+from lexigrove.llm import decontamination, language_id, lm_scoring, mixing, near_duplicates, perspectives, quality, sharding, token_counts, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,12 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(topk.scaled(_table(spark, sf_dir, "embeddings")))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents before and after three stated edits of each."""
+    docs = _table(spark, sf_dir, "documents")
+    return token_counts.edited_counts(docs, token_counts.stated_edits(F.col("doc_id"), F.col("text")), token_counts.default_vocabulary())
+
+
 def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near equal bytes."""
     return sharding.shards(_table(spark, sf_dir, "documents"))
@@ -42,6 +48,11 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every dialogue from the perspective of each of its participants."""
+    return perspectives.rotation_report(_table(spark, sf_dir, "conversations"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from three quarters of the labelled ones."""
     return language_id.language_report(_table(spark, sf_dir, "documents"))
@@ -56,9 +67,11 @@ QUERIES = {
     "op1_mix": op1_mix,
     "op2_lm_score": op2_lm_score,
     "op3_topk": op3_topk,
+    "op4_token_counts": op4_token_counts,
     "op5_shard": op5_shard,
     "op6_decontaminate": op6_decontaminate,
     "op7_near_duplicates": op7_near_duplicates,
+    "op8_perspectives": op8_perspectives,
     "op9_language": op9_language,
     "op10_quality": op10_quality,
 }
@@ -67,4 +80,5 @@ ORACLE_SQL = {
     "op1_mix": mixing.ORACLE_SQL,
     "op3_topk": topk.ORACLE_SQL,
     "op6_decontaminate": decontamination.ORACLE_SQL,
+    "op8_perspectives": perspectives.ORACLE_SQL,
 }
