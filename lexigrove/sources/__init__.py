@@ -1,0 +1 @@
+"""Readers and writers of corpora, vectors, histories and pages."""

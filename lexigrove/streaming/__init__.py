@@ -1,0 +1 @@
+"""Extensions beyond the batch operators: the same analytics over streams."""
