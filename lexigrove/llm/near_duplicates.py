@@ -7,10 +7,10 @@ earliest; two texts agree in a coordinate with a chance equal to their weighted
 similarity. Texts that agree in all rows of a band meet; their similarity is then counted
 exactly, and links of at least ``SIMILARITY`` join texts into classes.
 
-In a band's bucket all texts are first compared with the bucket's first text only. Where
-that leaves several classes in a bucket, texts of different classes are compared with each
-other as well, so that no link between texts that met is lost, and no group of copies is
-ever paired out.
+In a band's bucket all texts are first compared with the bucket's hub only. Where that
+leaves several classes in a bucket, an exact prefix filter finds the further pairs of
+different classes that can be similar enough. So no link between texts that met is lost,
+and no group of copies is ever paired out.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexigrove.cluster import ship
 from lexigrove.llm.bytes_kernel import chunks, mix64, word_hashes
 from lexigrove.llm.common import materialize, small_side
 
@@ -187,6 +188,51 @@ def _linked(pairs: DataFrame, units: DataFrame, similarity: float) -> DataFrame:
     return both.filter(common >= similarity * (F.size("units_a") + F.size("units_b") - common)).select("a", "b")
 
 
+#: A label with so many texts is not compared with itself even by way of a shared shingle.
+_LARGE = 64
+
+
+def _across(rest: DataFrame, units: DataFrame, similarity: float) -> DataFrame:
+    """Candidate pairs (a, b) of texts with different labels: no pair of at least ``similarity`` is missing.
+
+    Prefix filtering: if every text lists its units from the rarest on, two texts of n <= m
+    units that similar share one among the first n - ceil(2 s / (1 + s) n) + 1 of the shorter
+    and the first m - ceil(s m) + 1 of the longer. What a copy has of its own comes
+    first, so copies that differ too much from their group do not meet it at all. A pair
+    passes only if what follows the shared unit can still make up the similarity.
+    """
+    rows = materialize(rest.join(units, "key"), "rest-units")
+    opened = rows.select(F.explode("units").alias("unit"))
+    common = materialize(opened.groupBy("unit").agg(F.count("*").alias("df")).filter("df > 1"), "common-units")
+    n_common = common.count()
+    each = rows.select("key", "label", F.size("units").alias("size"), F.explode("units").alias("unit")).join(small_side(common, n_common), "unit")
+    listed = each.groupBy("key", "label", "size").agg(F.array_sort(F.collect_list(F.struct("df", "unit"))).alias("list"))
+    large = materialize(rest.groupBy("label").count().filter(F.col("count") >= _LARGE).select(F.col("label").alias("large")), "large")
+    listed = listed.join(small_side(large, large.count()), F.col("label") == F.col("large"), "left")
+    placed = listed.select("key", "label", "size", F.col("large").isNotNull().alias("large"), (F.col("size") - F.size("list")).alias("own"), F.posexplode("list").alias("at", "u"))
+    placed = placed.select("key", "label", "size", "large", (F.col("own") + F.col("at")).alias("place"), F.col("u.unit").alias("unit"))
+    placed = materialize(placed.filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * similarity - 1e-9)), "prefixes")
+    both = 2 * similarity / (1 + similarity)
+    short = placed.filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * both - 1e-9))
+    left = lambda df: df.select("unit", F.col("key").alias("a"), F.col("label").alias("label_a"), F.col("size").alias("size_a"), F.col("place").alias("place_a"))
+    right = lambda df: df.select("unit", F.col("key").alias("b"), F.col("label").alias("label_b"), F.col("size").alias("size_b"), F.col("place").alias("place_b"))
+    need = F.ceil((F.col("size_a") + F.col("size_b")) * (similarity / (1 + similarity)) - 1e-9)
+    ordered = (F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("a") != F.col("b")))
+    ok = ordered & (F.col("label_a") != F.col("label_b")) & (F.col("size_a") >= similarity * F.col("size_b"))
+    ok = ok & (F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) >= need)
+
+    def met(a: DataFrame, b: DataFrame) -> DataFrame:
+        return left(a).join(right(b), "unit").filter(ok).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    # texts of one large label meet nobody of their own: only units that hold two large labels join large with large
+    several = placed.filter("large").groupBy("unit").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("unit")
+    several = materialize(several, "several")
+    apart = small_side(several, several.count())
+    pairs = met(short.filter("not large"), placed).union(met(short.filter("large"), placed.filter("not large")))
+    pairs = pairs.union(met(short.filter("large").join(apart, "unit", "left_semi"), placed.filter("large")))
+    return materialize(pairs.distinct(), "pairs")
+
+
 def components(links: DataFrame, label: str = "components") -> tuple[DataFrame, int]:
     """((node, label), number of nodes) for materialized links (a, b): the smallest node of each component is its label.
 
@@ -214,45 +260,39 @@ def components(links: DataFrame, label: str = "components") -> tuple[DataFrame,
 
 def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(rows, groups): (doc_id, key, label) of every row, and (label, class_id, members) of each label with several rows."""
+    ship(docs.sparkSession)
     own = docs.select("doc_id", text_key(F.col("text")).alias("key"), "text")
     kind = own.schema["doc_id"].dataType.simpleString()
     signed = materialize(own.mapInArrow(_sign, f"doc_id {kind}, key binary, weight long, bands array<long>"), "signatures")
     opened = signed.filter("weight > 0").select("key", "weight", F.explode("bands").alias("band"))
-    held = opened.groupBy("band", "key").agg(F.min("weight").alias("weight"))
-    held = materialize(held, "bands")
-    buckets = held.groupBy("band").agg(F.min(F.struct("key", "weight")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    buckets = materialize(buckets.select("band", "first", "n"), "buckets")
-    n_buckets = buckets.count()
-    shared = held.join(small_side(buckets, n_buckets), "band")
-    shared = materialize(shared, "shared-bands")
-
-    def alike(a: Column, b: Column) -> Column:  # sizes alone rule a pair out
-        return F.least(a, b) >= similarity * F.greatest(a, b)
-
-    stars = shared.filter((F.col("key") != F.col("first.key")) & alike(F.col("weight"), F.col("first.weight")))
-    pairs = materialize(stars.select(F.col("first.key").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
-    wanted = shared.select("key").distinct()
-    wanted = materialize(wanted, "candidates").withColumnRenamed("key", "wanted")
-    chosen = own.join(small_side(wanted, wanted.count()), own["key"] == F.col("wanted"), "left_semi").select("key", "text")
+    held = materialize(opened.groupBy("band", "key").agg(F.min("weight").alias("weight")), "bands")
+    buckets = materialize(held.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
+    shared = materialize(held.join(small_side(buckets, buckets.count()), "band"), "shared-bands")
+    # a bucket's hub is its text that meets most others anywhere: the original rather than one of its copies
+    degrees = materialize(shared.groupBy("key").agg(F.sum("n").alias("degree")), "degrees")
+    n_shared = degrees.count()
+    ranked = shared.join(small_side(degrees, n_shared), "key")
+    hubs = ranked.groupBy("band").agg(F.max(F.struct("degree", "key", "weight")).alias("hub"))
+    hubs = materialize(hubs.select("band", F.col("hub.key").alias("hub"), F.col("hub.weight").alias("hub_weight")), "hubs")
+    met = materialize(shared.join(small_side(hubs, hubs.count()), "band"), "met")
+    alike = F.least("weight", "hub_weight") >= similarity * F.greatest("weight", "hub_weight")  # sizes alone rule a pair out
+    pairs = materialize(met.filter((F.col("key") != F.col("hub")) & alike).select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
+    wanted = degrees.select(F.col("key").alias("wanted"))
+    chosen = own.join(small_side(wanted, n_shared), own["key"] == F.col("wanted"), "left_semi").select("key", "text")
     units = materialize(chosen.mapInArrow(_units, "key binary, units array<int>").groupBy("key").agg(F.first("units").alias("units")), "units")
     links = materialize(_linked(pairs, units, similarity), "links")
     labels, n = components(links)
-    if n_buckets:
-        marked = shared.filter("n > 2").join(small_side(labels, n), F.col("key") == F.col("node"), "left")
-        marked = materialize(marked.select("band", "key", "weight", "first", F.coalesce("label", "key").alias("label")), "marked")
-        mixed = marked.filter(F.col("key") != F.col("first.key")).groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("band")
-        mixed = materialize(mixed, "mixed")
-        rest = marked.join(small_side(mixed, mixed.count()), "band", "left_semi").filter(F.col("key") != F.col("first.key"))
-        rest = materialize(rest.select("band", "key", "weight", "label"), "rest")
-        left = rest.select("band", F.col("key").alias("a"), F.col("weight").alias("weight_a"), F.col("label").alias("label_a"))
-        right = rest.select("band", F.col("key").alias("b"), F.col("weight").alias("weight_b"), F.col("label").alias("label_b"))
-        across = left.join(right, "band").filter((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & alike(F.col("weight_a"), F.col("weight_b")))
-        more = materialize(across.select("a", "b").distinct(), "pairs")
+    marked = met.filter("n > 2").join(small_side(labels, n), F.col("key") == F.col("node"), "left")
+    marked = materialize(marked.select("band", "key", F.coalesce("label", "key").alias("label")), "marked")
+    mixed = marked.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("band")
+    mixed = materialize(mixed, "mixed")
+    if n_mixed := mixed.count():
+        rest = materialize(marked.join(small_side(mixed, n_mixed), "band", "left_semi").groupBy("key").agg(F.min("label").alias("label")), "rest")
+        more = _across(rest, units, similarity)
         if more.count():
             found = materialize(_linked(more, units, similarity), "links")
             if found.count():
-                links = materialize(links.union(found), "links")
-                labels, n = components(links)
+                labels, n = components(materialize(links.union(found), "links"))
     rows = signed.select("doc_id", "key").join(small_side(labels, n), F.col("key") == F.col("node"), "left")
     rows = materialize(rows.select("doc_id", "key", F.coalesce("label", "key").alias("label")), "rows")
     groups = rows.filter(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))["key"].alias("class_key"), F.count("*").alias("members")).filter("members > 1")
