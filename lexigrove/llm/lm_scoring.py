@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexigrove.cluster import ship
 from lexigrove.llm import char_lm
 from lexigrove.llm.bytes_kernel import chunks
 from lexigrove.llm.common import small_side
@@ -67,6 +68,7 @@ def _packed(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
 
 def train(marked: DataFrame, min_share: float = MIN_SHARE) -> char_lm.KneserNey | None:
     """Both models over all rows of ``marked`` (text, is_target). The background is all rows, the target those marked."""
+    ship(marked.sparkSession)
     counted = marked.select("text", "is_target").mapInArrow(_count, "gram long, target long, background long")
     summed = counted.groupBy("gram").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
     summed = summed.persist()
@@ -86,6 +88,7 @@ def cross_entropy_difference(docs: DataFrame, model: char_lm.KneserNey | None, c
 
     Null, empty and blank texts have no tokens, and null losses and score.
     """
+    ship(docs.sparkSession)
     columns = docs.select(*carry, "text")
     held = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join([f"`{c}` {columns.schema[c].dataType.simpleString()}" for c in carry] + ["n_tokens long", "loss_target double", "loss_background double", "score double"])

@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexigrove.cluster import ship
 from lexigrove.llm.common import materialize, small_side
 
 TURNS = 64
@@ -42,6 +43,7 @@ def _number(frames):
 
 def numbered_turns(conversations: DataFrame) -> DataFrame:
     """(conv_id, speaker, text, index): turns in the order of turn (null first), speaker and text, counted from 0."""
+    ship(conversations.sparkSession)
     safe = lambda c: F.replace(c, F.lit("<|"), F.lit("< |"))
     speaker = safe(F.regexp_replace(F.coalesce(F.col("role"), F.lit(UNKNOWN)), r"\s+", "_"))
     rows = conversations.select("conv_id", "turn", speaker.alias("speaker"), safe(F.coalesce(F.col("text"), F.lit(""))).alias("text"), F.monotonically_increasing_id().alias("tie"))
