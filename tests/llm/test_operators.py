@@ -131,18 +131,17 @@ def test_decontaminate_removes(spark, odd, none):
 # --- top k ------------------------------------------------------------------------------------
 
 
-def test_top_k(spark, monkeypatch):
-    monkeypatch.setattr(topk, "BLOCK", 40)
+def test_top_k(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in np.round(rng.normal(0, 0.3, 6), 1)]) for i in range(300)]
-    rows += [(400 + i, rows[7][1]) for i in range(30)] + [rows[50], (500, None), (501, [1.0, None, 0, 0, 0, 0]), (502, [float("nan")] * 6), (503, [float("inf")] * 6), (550, [0.5, 0.5]), (551, [0.1, 0.2]), (None, rows[1][1])]
+    rows += [(400 + i, rows[7][1]) for i in range(30)] + [rows[50], (500, None), (501, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (502, [float("nan")] * 6), (503, [float("inf")] * 6), (550, [0.5, 0.5]), (551, [0.1, 0.2]), (None, rows[1][1])]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, score int")
     ok = {i: np.floor(256 * np.float32(v).astype(float)).astype(int) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
     want = []
     for q in (i for i in ok if i % 50 == 0):
         best = sorted(((-int(ok[q] @ v), i) for i, v in ok.items() if i != q and len(v) == len(ok[q])))[:5]
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    assert sorted(map(tuple, topk.top_k(topk.scaled(df)).collect())) == sorted(want)
+    assert sorted(map(tuple, topk.top_k(topk.scaled(df), block=40).collect())) == sorted(want)
     assert topk.top_k(topk.scaled(df.filter("vec_id < 0"))).count() == 0
 
 
