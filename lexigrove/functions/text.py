@@ -113,18 +113,12 @@ def has_any_word(text: Column, words: Column) -> Column:
 
 def count_words(text: Column, words: list[str]) -> Column:
     """How many of the words the text has."""
-    total = F.lit(0)
-    for w in words:
-        total = total + has_word(text, F.lit(w)).cast("int")
-    return total
+    return F.size(F.filter(words_literal(words), lambda w: has_word(text, w)))
 
 
 def has_any(text: Column, parts: list[str]) -> Column:
     """Whether one of the parts is a substring."""
-    out = F.lit(False)
-    for p in parts:
-        out = out | F.contains(text, F.lit(p))
-    return out
+    return F.exists(words_literal(parts), lambda p: F.contains(text, p))
 
 
 def has_any_of(text: Column, parts: Column) -> Column:

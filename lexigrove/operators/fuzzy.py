@@ -14,7 +14,7 @@ from lexigrove import lexicon
 from lexigrove.cluster import ship
 from lexigrove.operators.channels import QUERY_ROWS
 
-FIRST, AFTER_BREAK, ADJACENT, LEADING_GAP, UNMATCHED = 10, 10, 5, -5, -1
+FIRST, AFTER_BREAK, ADJACENT, LEADING_GAP, UNMATCHED = 10, 10, 15, -5, -1
 _BREAKS = " -_/.\\"
 
 

@@ -12,6 +12,17 @@ from lexigrove.operators.platforms import is_pipeline
 from lexigrove.options import Options
 
 
+#: A query-side table of so many rows at most is computed once and becomes a constant of the plans that follow.
+CONSTANT_ROWS = 20_000
+
+
+def settled(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, computed now: as a constant if ``rows``, its bound, is small, else kept by Spark."""
+    if rows > CONSTANT_ROWS:
+        return df.persist()
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 class Search:
     """The stages of one search, each a DataFrame that can be looked at by itself.
 
@@ -21,11 +32,12 @@ class Search:
 
     def __init__(self, corpus: Corpus, queries: DataFrame, options: Options | None = None, vectors: DataFrame | None = None):
         self.corpus, self.options = corpus, (options or Options()).normal()
-        self.queries = queries.select("qid", F.coalesce("text", F.lit("")).alias("text")).persist()
-        self.n_queries = self.queries.count()
-        self.analysed = analysis.query_terms(self.queries, self.options).persist()
-        self.terms = analysis.weighted_query_terms(self.analysed, corpus.df, corpus.totals["n"], self.options).persist()
+        self.n_queries = queries.count()
+        self.queries = settled(queries.select("qid", F.coalesce("text", F.lit("")).alias("text")), self.n_queries)
+        self.analysed = settled(analysis.query_terms(self.queries, self.options), self.n_queries)
         self.n_terms = self.n_queries * max(self.options.top_terms, 10) * 3
+        self.terms = settled(analysis.weighted_query_terms(self.analysed, corpus.df, corpus.totals["n"], self.options), self.n_terms)
+        self._families: DataFrame | None = None
         # the vector channel belongs to language understanding, like the channel of weighted terms
         self.vectors = vectors if self.options.use_nlp else None
 
@@ -41,7 +53,9 @@ class Search:
         return scores.unionByName(bonus.withColumnRenamed("bonus", "score")).groupBy("qid", "doc_id").agg(F.sum("score").alias("score"))
 
     def families(self) -> DataFrame:
-        return families.family_scores(self.corpus, self.terms, self.n_terms)
+        if self._families is None:
+            self._families = settled(families.family_scores(self.corpus, self.terms, self.n_terms), self.n_queries * families.TOP_BASES)
+        return self._families
 
     def similarities(self) -> DataFrame:
         return channels.tfidf_similarities(self.corpus, self.queries, self.n_queries)
@@ -67,6 +81,7 @@ class Search:
         q = q.join(contexts, "qid", "left").withColumn("contexts", F.coalesce("contexts", F.array().cast("array<string>")))
         wide = features.with_synonyms
         q = q.withColumnRenamed("keywords", "asked_keywords")  # records have keywords, too
+        q = settled(q, self.n_queries)
         return q.select("*", wide(F.col("actions")).alias("action_words"), wide(F.col("targets")).alias("target_words"), wide(F.col("asked_keywords")).alias("keyword_words"))
 
     def featured(self, candidates: DataFrame) -> DataFrame:
