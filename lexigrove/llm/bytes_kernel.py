@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK, PIECE = 1 << 20, 1 << 18
+CHUNK, PIECE = 1 << 19, 1 << 17
 
 
 def text_buffer(column: pa.Array) -> tuple[memoryview, np.ndarray]:

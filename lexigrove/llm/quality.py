@@ -13,7 +13,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -203,10 +202,9 @@ def score(docs: DataFrame, model: AttentionModel | None, column: str = "score")
     ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        whole = pa.array(texts, pa.string(), from_pandas=True)
-        return pd.Series(np.concatenate([score_texts(held.value, whole.slice(at, 2048)) for at in range(0, max(len(whole), 1), 2048)]))
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        return pa.array(np.concatenate([score_texts(held.value, texts.slice(at, 1024)) for at in range(0, max(len(texts), 1), 1024)]))
 
     return docs.withColumn(column, scored(F.col("text")))
 
