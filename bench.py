@@ -19,7 +19,9 @@ def main() -> None:
     folder, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("bench").config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "12g")
-        .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+        .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")  # small tables, hard work on each row
+        .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     plans.QUERIES["history_top"](spark, folder).collect()  # the JVM is warm

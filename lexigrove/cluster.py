@@ -1,4 +1,4 @@
-"""Getting the package to Python workers that do not have it on their path."""
+"""Getting the package to Python workers, and small tables to all cores."""
 
 from __future__ import annotations
 
@@ -6,7 +6,10 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+#: A table of at most so many bytes, by Spark's estimate, may be dealt out anew; bytes that are worth a task of their own.
+SPREAD_BYTES, TASK_BYTES = 256 << 20, 32 << 10
 
 _shipped: set[str] = set()
 
@@ -23,3 +26,15 @@ def ship(spark: SparkSession) -> None:
             out.write(source, Path(root.name) / source.relative_to(root))
     spark.sparkContext.addPyFile(str(target))
     _shipped.add(application)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out a small table over the cores. Its file may be one row group, and so one task, however hard the work on each row.
+
+    Tables beyond the bound, or of unknown size, have splits enough and stay where they are.
+    """
+    if df.isStreaming:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    tasks = min(df.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    return df.repartition(tasks) if size <= SPREAD_BYTES and tasks > 1 else df

@@ -40,8 +40,11 @@ def clean(c: Column) -> Column:
 
 
 def terms(c: Column) -> Column:
-    """Lower-case ASCII terms of two characters or more, without stop words."""
-    parts = F.split(F.lower(clean(c)), "[^a-z0-9]+")
+    """Lower-case ASCII terms of two characters or more, without stop words.
+
+    Whatever clean() drops or keeps between two terms separates them here, so one pass does.
+    """
+    parts = F.split(F.lower(F.regexp_replace(c, "[^A-Za-z0-9]+", " ")), " ")
     return F.filter(parts, lambda t: (F.length(t) >= 2) & ~is_stop_word(t))
 
 
@@ -51,7 +54,7 @@ def drop_double(c: Column) -> Column:
 
 
 def stem(c: Column) -> Column:
-    """Conservative stem of a lower-case word."""
+    """Conservative stem of a lower-case word. Words without a suffix, most of them, pass only cheap tests."""
     fixes = F.from_json(F.lit(json.dumps(lexicon.STEM_FIXES)), "map<string,string>")
     n = F.octet_length(c)
     cut = lambda k: F.substring(c, F.lit(1), F.length(c) - k)
@@ -62,7 +65,13 @@ def stem(c: Column) -> Column:
         .when((n > 4) & c.endswith("es"), cut(2))
         .otherwise(c)
     )
-    return F.when(n < 4, c).otherwise(F.coalesce(F.try_element_at(fixes, c), F.try_element_at(fixes, shorter), shorter))
+    suffixed = c.endswith("es") | c.endswith("ing") | c.endswith("ed")
+    return (
+        F.when(n < 4, c)
+        .when(c.isin(*lexicon.STEM_FIXES), F.try_element_at(fixes, c))
+        .when(suffixed, F.coalesce(F.try_element_at(fixes, shorter), shorter))
+        .otherwise(c)
+    )
 
 
 def neighbours(tokens: Column) -> Column:
@@ -80,7 +89,12 @@ def with_bigrams(tokens: Column) -> Column:
 def weighted_terms(c: Column) -> Column:
     """T4: stemmed terms of all alphabets (two bytes or more, stop words tested on the stem), then their adjacent pairs."""
     stems = F.transform(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), stem)
-    return with_bigrams(F.filter(stems, lambda t: (F.octet_length(t) >= 2) & ~is_stop_word(t)))
+    return with_bigrams(F.filter(stems, is_weighted_term))
+
+
+def is_weighted_term(t: Column) -> Column:
+    """Whether a stem counts as a weighted term."""
+    return (F.octet_length(t) >= 2) & ~is_stop_word(t)
 
 
 def vector_terms(c: Column) -> Column:

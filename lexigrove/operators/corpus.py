@@ -14,6 +14,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexigrove.cluster import spread
 from lexigrove.functions import text as X
 from lexigrove.schema import records
 
@@ -114,7 +115,7 @@ class Corpus:
     @classmethod
     def of(cls, df: DataFrame, *, keep: bool = True) -> Corpus:
         """S3: from any DataFrame that has doc_id and some of the record columns."""
-        docs = records(df)
+        docs = spread(records(df))
         return cls(docs.persist(StorageLevel.MEMORY_AND_DISK) if keep else docs)
 
     def _kept(self, df: DataFrame) -> DataFrame:

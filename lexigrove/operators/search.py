@@ -20,7 +20,7 @@ def settled(df: DataFrame, rows: int) -> DataFrame:
     """``df``, computed now: as a constant if ``rows``, its bound, is small, else kept by Spark."""
     if rows > CONSTANT_ROWS:
         return df.persist()
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)  # from Arrow it is a local relation: no Python worker runs
 
 
 class Search:

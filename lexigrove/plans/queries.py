@@ -6,10 +6,12 @@ description, the words of the name the keywords. Query sets are literal, as a us
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexigrove import schema
+from lexigrove.cluster import spread
 from lexigrove.functions import sanitize
 from lexigrove.functions import text as X
 from lexigrove.functions import vectors as V
@@ -43,8 +45,14 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    """documents, for queries that work hard on each text."""
+    return spread(_t(spark, d, "documents"))
+
+
 def _queries(spark: SparkSession, rows=None) -> DataFrame:
-    return spark.createDataFrame(rows or QUERY_SET, "qid long, text string")
+    qid, text = zip(*(rows or QUERY_SET))
+    return spark.createDataFrame(pa.table({"qid": pa.array(qid, pa.int64()), "text": pa.array(text, pa.string())}))
 
 
 def part_records(spark: SparkSession, d: str) -> DataFrame:
@@ -58,7 +66,7 @@ def part_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def document_records(spark: SparkSession, d: str) -> DataFrame:
-    return schema.records(_t(spark, d, "documents").select("doc_id", F.col("source").alias("command"), F.col("text").alias("description"), F.array("lang").alias("tags"), F.col("lang").alias("niche")))
+    return schema.records(_docs(spark, d).select("doc_id", F.col("source").alias("command"), F.col("text").alias("description"), F.array("lang").alias("tags"), F.col("lang").alias("niche")))
 
 
 def _corpus(spark: SparkSession, d: str) -> C.Corpus:
@@ -100,23 +108,26 @@ R = lambda c, n=6: F.round(c, n).alias(c)
 @_register("tok_terms", S.query([f"t AS (SELECT doc_id, {S.terms('text')} AS t FROM documents)"], "SELECT doc_id, len(t)::INTEGER AS n, array_to_string(t, ' ') AS terms FROM t"))
 def tok_terms(spark, d):
     t = X.terms(F.coalesce("text", F.lit("")))
-    return _t(spark, d, "documents").select("doc_id", t.alias("t")).select("doc_id", F.size("t").alias("n"), F.array_join("t", " ").alias("terms"))
+    return _docs(spark, d).select("doc_id", t.alias("t")).select("doc_id", F.size("t").alias("n"), F.array_join("t", " ").alias("terms"))
 
 
 @_register("tok_bigrams", S.query([f"t AS (SELECT doc_id, {S.terms('text')} AS t FROM documents)", f"b AS (SELECT unnest({S.neighbours('t')}) AS bigram FROM t)"], "SELECT bigram, count(*) AS n FROM b GROUP BY bigram"))
 def tok_bigrams(spark, d):
-    return _t(spark, d, "documents").select(F.explode(X.neighbours(X.terms(F.col("text")))).alias("bigram")).groupBy("bigram").agg(F.count("*").alias("n"))
+    return _docs(spark, d).select(F.explode(X.neighbours(X.terms(F.col("text")))).alias("bigram")).groupBy("bigram").agg(F.count("*").alias("n"))
 
 
 @_register("tok_trigrams", S.query([f"g AS (SELECT unnest({S.grams('text')}) AS gram FROM documents)"], "SELECT gram, count(*) AS n FROM g GROUP BY gram"))
 def tok_trigrams(spark, d):
-    return _t(spark, d, "documents").select(F.explode(X.char_grams(F.col("text"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    return _docs(spark, d).select(F.explode(X.char_grams(F.col("text"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
 
 @_register("stem_terms", S.query([f"w AS (SELECT unnest({S.weighted('text')}) AS term FROM documents)"], "SELECT term, count(*) AS n FROM w GROUP BY term"))
 def stem_terms(spark, d):
-    stems = F.filter(X.weighted_terms(F.col("text")), lambda t: ~F.contains(t, F.lit("_")))
-    return _t(spark, d, "documents").select(F.explode(stems).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    """Words are counted first, so that each different one is stemmed once and in generated code."""
+    words = F.split(F.lower("text"), r"[^\p{L}\p{N}]+")
+    counted = _docs(spark, d).select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    stems = counted.select(X.stem(F.col("word")).alias("term"), "n").filter(X.is_weighted_term(F.col("term")))
+    return stems.groupBy("term").agg(F.sum("n").alias("n"))
 
 
 @_register("token_variants", r"""
@@ -126,7 +137,7 @@ SELECT DISTINCT w AS token, array_to_string(list_filter([w,
    lambda x: x IS NOT NULL), ' ') AS variants
 FROM (SELECT unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: strlen(t) >= 2)) AS w FROM documents)""")
 def token_variants(spark, d):
-    w = _t(spark, d, "documents").select(F.explode(X.vector_terms(F.col("text"))).alias("token")).distinct()
+    w = _docs(spark, d).select(F.explode(X.vector_terms(F.col("text"))).alias("token")).distinct()
     return w.select("token", F.array_join(X.token_variants(F.col("token")), " ").alias("variants"))
 
 
@@ -158,7 +169,7 @@ def corpus_stats(spark, d):
 
 @_register("doc_term_df", S.query([f"t AS (SELECT DISTINCT doc_id, unnest({S.terms('text')}) AS term FROM documents)"], "SELECT term, count(*) AS df, round(ln(((SELECT count(*) FROM documents) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE) + 1), 6) AS idf FROM t GROUP BY term"))
 def doc_term_df(spark, d):
-    docs = _t(spark, d, "documents")
+    docs = _docs(spark, d)
     n = docs.count()
     df = docs.select(F.explode(F.array_distinct(X.terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     return df.select("term", "df", F.round(C.idf(F.lit(n), F.col("df")), 6).alias("idf"))
@@ -255,7 +266,7 @@ def min_idf(spark, d):
 ], _TOP.format("s", 10)))
 def bm25_topk(spark, d):
     """BM25 over whole documents. One pass tokenises; rows of terms that no query has are dropped before they move."""
-    docs = _t(spark, d, "documents").select("doc_id", X.terms(F.coalesce("text", F.lit(""))).alias("t")).persist()
+    docs = _docs(spark, d).select("doc_id", X.terms(F.coalesce("text", F.lit(""))).alias("t")).persist()
     n, mean = docs.agg(F.count("*"), F.avg(F.size("t"))).first()
     q = _queries(spark, DOC_QUERIES).select("qid", F.explode(X.terms(F.col("text"))).alias("term"))
     asked = F.broadcast(q.select("term").distinct())
@@ -289,7 +300,7 @@ def tfidf_vocab_stats(spark, d):
     "t AS (SELECT DISTINCT doc_id, unnest(w) AS term FROM w1)", "n AS (SELECT count(*) AS n FROM documents)",
 ], "SELECT term, count(*) AS df, round(ln((1.0::DOUBLE + any_value(n)) / (1.0::DOUBLE + count(*))) + 1.0::DOUBLE, 6) AS idf FROM t, n GROUP BY term HAVING count(*) <= greatest(1, any_value(n) * 8 // 10)"))
 def doc_tfidf_vocabulary(spark, d):
-    docs = _t(spark, d, "documents")
+    docs = _docs(spark, d)
     single = F.filter(X.weighted_terms(F.col("text")), lambda t: ~F.contains(t, F.lit("_")))
     tf = docs.select("doc_id", F.explode(F.array_distinct(single)).alias("term"))
     return C.tfidf_vocabulary(tf, docs.count()).select("term", "df", R("idf"))
@@ -476,7 +487,7 @@ def dominant_component_removed(spark, d):
 
 def _judged(spark, d, k: int = 5) -> DataFrame:
     """benchmark items as queries over documents; relevant: documents that hold the item's first 60 characters; slice: the item's id modulo 4."""
-    docs = _t(spark, d, "documents").select("doc_id", "text")
+    docs = _docs(spark, d).select("doc_id", "text")
     items = _t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text", F.concat(F.lit("s"), (F.col("item_id") % 4).cast("string")).alias("slice"), F.substring("text", 1, 60).alias("head"))
     toks = docs.select("doc_id", X.terms(F.coalesce("text", F.lit(""))).alias("t")).persist()
     n, mean = toks.agg(F.count("*"), F.avg(F.size("t"))).first()
@@ -660,12 +671,12 @@ def page_words(spark, d):
 
 @_register("pii_mask", f"SELECT doc_id, {S.mask('text')} AS masked FROM documents")
 def pii_mask(spark, d):
-    return _t(spark, d, "documents").select("doc_id", sanitize.mask(F.col("text")).alias("masked"))
+    return _docs(spark, d).select("doc_id", sanitize.mask(F.col("text")).alias("masked"))
 
 
 @_register("input_sanitize", f"SELECT doc_id, {S.sanitized('text')} AS clean FROM documents")
 def input_sanitize(spark, d):
-    return _t(spark, d, "documents").select("doc_id", sanitize.sanitize_input(F.col("text")).alias("clean"))
+    return _docs(spark, d).select("doc_id", sanitize.sanitize_input(F.col("text")).alias("clean"))
 
 
 @_register("filename_sanitize", r"""SELECT page_id, regexp_replace(translate(url, '/\:*?"<>|', '_________'), '^[ .]+|[ .]+$', '', 'g') AS filename, substr(replace(url, '..', '_'), 1, 4096) AS path FROM pages""")
