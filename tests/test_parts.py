@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexigrove import errors, schema
 from lexigrove.cache import CachedSearch, LruCache, cache_key
+from lexigrove.cluster import spread
 from lexigrove.functions import sanitize
 from lexigrove.functions import text as X
 from lexigrove.functions import vectors as V
@@ -146,3 +147,29 @@ def test_upsert(spark):
     s = "doc_id long, command string, description string"
     got = records.upsert(spark.createDataFrame([(0, "a", "old"), (1, "b", "b")], s), spark.createDataFrame([(0, "a", "new"), (1, "c", "c")], s))
     assert {(r["doc_id"], r["command"], r["description"]) for r in got.collect()} == {(0, "a", "new"), (1, "b", "b"), (3, "c", "c")}
+
+
+def test_stems(spark):
+    words = {
+        "mov": "mov", "moved": "move", "copies": "copy", "running": "run", "stopped": "stop", "delet": "delete", "deleting": "delete", "boxes": "box",
+        "class": "class", "bed": "bed", "sing": "sing", "falling": "fall", "": "",
+    }
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", X.stem(F.col("w")).alias("s")).collect()
+    assert {r["w"]: r["s"] for r in rows} == words
+    whole = spark.createDataFrame([("moved copies",)], "w string").select(F.transform(F.split("w", " "), X.stem).alias("s")).first()
+    assert whole["s"] == ["move", "copy"]
+
+
+def test_terms_cut_at_all_but_ascii(spark):
+    df = spark.createDataFrame([("Git-Commit.v2 caf\u00e9s \u212aelvin\u0130x a bb_cc",), ("",), (None,)], "c string")
+    assert [r[0] for r in df.select(X.terms(F.col("c"))).collect()] == [["git", "commit", "v2", "caf", "elvin", "bb", "cc"], [], None]
+
+
+def test_spread_keeps_rows_and_leaves_tiny_tables(spark):
+    tiny, small = spark.range(3), spark.range(40_000)
+    assert spread(tiny).count() == 3 and spread(small).count() == 40_000
+    assert spread(tiny).rdd.getNumPartitions() == tiny.rdd.getNumPartitions()
+    one = small.coalesce(1)
+    assert spread(one).rdd.getNumPartitions() > 1
+    huge = spark.range(1 << 30)
+    assert spread(huge).rdd.getNumPartitions() == huge.rdd.getNumPartitions()
