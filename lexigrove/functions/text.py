@@ -104,9 +104,11 @@ def vector_terms(c: Column) -> Column:
 
 def char_grams(c: Column, n: int = 3) -> Column:
     """The different n-grams of characters, lower case, without spaces."""
-    p = F.replace(F.lower(c), F.lit(" "), F.lit(""))
-    windows = F.transform(F.sequence(F.lit(1), F.length(p) - (n - 1)), lambda i: F.substring(p, i, F.lit(n)))
-    return F.when(F.length(p) < n, F.array().cast("array<string>")).otherwise(F.array_distinct(windows))
+    # a text of one element, so that the lambda holds its characters and does not make them anew for each window
+    chars = F.array(F.split(F.replace(F.lower(c), F.lit(" "), F.lit("")), ""))
+    windows = F.transform(chars, lambda cs: F.transform(F.sequence(F.lit(1), F.size(cs) - (n - 1)), lambda i: F.array_join(F.slice(cs, i, F.lit(n)), "")))[0]
+    length = F.length(F.replace(F.lower(c), F.lit(" "), F.lit("")))
+    return F.when(length < n, F.array().cast("array<string>")).otherwise(F.array_distinct(windows))
 
 
 def token_variants(t: Column) -> Column:
