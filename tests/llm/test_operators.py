@@ -349,6 +349,34 @@ def test_lm_scores(spark, odd, none):
     assert lm_scoring.score_documents(odd, labels).count() == 8 and lm_scoring.score_documents(none, labels).count() == 0
 
 
+def full_losses(corpus, texts):
+    """(target, background) mean losses of texts under models of all grams of the corpus (text, is_target)."""
+    import pyarrow as pa
+
+    from lexigrove.llm import bytes_kernel, char_lm
+
+    def keys_of(text):
+        chunk, starts, _ = next(bytes_kernel.chunks(pa.array([text])))
+        return char_lm.gram_keys(char_lm.symbols(chunk, starts, char_lm.visible_table())[0])
+
+    parts = [np.unique(keys_of(t), return_counts=True) + (flag,) for t, flag in corpus]
+    keys, counts = char_lm._summed(np.concatenate([p[0] for p in parts]), np.concatenate([np.stack([n * flag, n], axis=1) for _, n, flag in parts]))
+    model = char_lm.build(["target", "background"], keys, counts)
+    return np.array([-model.log_prob(keys_of(t)).mean(axis=0, dtype=np.float64) for t in texts])
+
+
+def test_lm_keeps_rare_grams_of_a_large_corpus(spark):
+    """Over five million grams, so that a gram seen once has less than 2e-7 of them."""
+    corpus = [("the cat sat on a mat " * 6000, False)] * 48 + [("zyx wvuq jkl", True), ("zyx wvuq fgh", False)]
+    rows = [(i, t, "", "s") for i, (t, _) in enumerate(corpus)]
+    labels = spark.createDataFrame([(48, 1)], "doc_id long, quality int")
+    got = lm_scoring.score_documents(docs_of(spark, rows), labels).toPandas().set_index("doc_id")
+    assert got["n_tokens"].sum() > 5_000_000
+    expected = full_losses(corpus, [corpus[i][0] for i in (0, 48, 49)])
+    assert np.allclose(got.loc[[0, 48, 49], ["loss_target", "loss_background"]], expected, rtol=1e-4)
+
+
+
 # --- chat and tokens ----------------------------------------------------------------------------
 
 
