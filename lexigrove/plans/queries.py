@@ -633,6 +633,20 @@ def upsert_union(spark, d):
     return records.upsert(old, new).select("doc_id", "command", "description")
 
 
+@_register("upsert_whole", """WITH a AS (SELECT c_custkey AS doc_id, c_name AS command, c_mktsegment AS description FROM customer UNION ALL SELECT -s_suppkey, s_name, 'old' FROM supplier),
+  b AS (SELECT c_custkey AS doc_id, c_name AS command, 'new ' || c_mktsegment AS description FROM customer UNION ALL SELECT p_partkey, p_name, 'new' FROM part),
+  ids AS (SELECT command, min(doc_id) AS old_id FROM a GROUP BY command)
+  SELECT doc_id, command, description FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.command = a.command)
+  UNION ALL SELECT coalesce(ids.old_id, (SELECT max(doc_id) FROM a) + 1 + b.doc_id), b.command, b.description FROM b LEFT JOIN ids USING (command)""")
+def upsert_whole(spark, d):
+    """Whole tables: all customers are replaced, all suppliers stay, all parts are added."""
+    c, s, p = (_t(spark, d, t) for t in ("customer", "supplier", "part"))
+    row = lambda df, key, name, said: df.select(key.alias("doc_id"), F.col(name).alias("command"), said.alias("description"))
+    old = row(c, F.col("c_custkey"), "c_name", F.col("c_mktsegment")).unionByName(row(s, -F.col("s_suppkey"), "s_name", F.lit("old")))
+    new = row(c, F.col("c_custkey"), "c_name", F.concat(F.lit("new "), "c_mktsegment")).unionByName(row(p, F.col("p_partkey"), "p_name", F.lit("new")))
+    return records.upsert(old, new).select("doc_id", "command", "description")
+
+
 @_register("personal_union", "SELECT p_partkey AS doc_id, p_name AS command FROM part UNION ALL SELECT s_suppkey + 1 + (SELECT max(p_partkey) FROM part), s_name FROM supplier")
 def personal_union(spark, d):
     s = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.col("s_name").alias("command"))

@@ -14,6 +14,7 @@ from lexigrove.functions import vectors as V
 from lexigrove.operators import history, metrics, projects, vectors
 from lexigrove.operators.corpus import Corpus
 from lexigrove.options import Options
+from lexigrove.plans import queries as plans
 from lexigrove.sources import embeddings, pages, records
 from lexigrove.streaming import events
 
@@ -149,6 +150,15 @@ def test_upsert(spark):
     assert {(r["doc_id"], r["command"], r["description"]) for r in got.collect()} == {(0, "a", "new"), (1, "b", "b"), (3, "c", "c")}
 
 
+def test_upsert_takes_whole_tables(spark, tmp_path):
+    """Rows of every id pass through the registered query, beyond 600 too."""
+    for name, prefix, key, text in (("customer", "c", "c_custkey", "c_mktsegment"), ("supplier", "s", "s_suppkey", "s_x"), ("part", "p", "p_partkey", "p_x")):
+        spark.range(1, 801).selectExpr(f"id as {key}", f"'{prefix}' || id as {prefix}_name", f"'m' as {text}").write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {r["command"]: (r["doc_id"], r["description"]) for r in plans.QUERIES["upsert_whole"](spark, str(tmp_path)).collect()}
+    assert len(got) == 2400
+    assert got["c700"] == (700, "new m") and got["s700"] == (-700, "old") and got["p700"] == (800 + 1 + 700, "new")
+
+
 def test_stems(spark):
     words = {
         "mov": "mov", "moved": "move", "copies": "copy", "running": "run", "stopped": "stop", "delet": "delete", "deleting": "delete", "boxes": "box",
