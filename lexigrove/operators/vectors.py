@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +15,8 @@ from lexigrove.functions import text as X
 from lexigrove.functions import vectors as V
 
 ROUNDS, LEAST_DOCS, A = 24, 16, 1e-3
+#: Query vectors sent to the executors at once, and those compared with a batch at once.
+QUERY_BLOCK, QUERY_ROWS = 8192, 256
 
 
 def token_weight(token: Column, rank: Column, vocabulary: int) -> Column:
@@ -101,9 +107,48 @@ def without_dominant(vectors: DataFrame, direction: list[float] | None) -> DataF
     return vectors.withColumn("vec", V.normalized(V.without(F.col("vec"), F.array(*[F.lit(x) for x in direction]))))
 
 
-def cosine_top(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """(qid, rank, doc_id, sim): a stated set of query vectors (qid, vec) against all vectors (doc_id, vec)."""
-    pairs = vectors.join(F.broadcast(queries.select("qid", F.col("vec").alias("q"))), F.size("q") == F.size("vec"))
-    sims = pairs.select("qid", "doc_id", V.cosine(F.col("q"), F.col("vec")).alias("sim"))
-    w = Window.partitionBy("qid").orderBy(F.round("sim", 6).desc(), "doc_id")
+def _block_top(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """(qid, doc_id, sim): of each task's portions of vectors, the k best for each of the collected query vectors of a block."""
+    asked = queries.select("qid", "vec").toArrow().combine_chunks()
+    kinds = {"qid": queries.schema["qid"].dataType.simpleString(), "doc_id": vectors.schema["doc_id"].dataType.simpleString()}
+
+    def matrix(vecs: pa.Array, d: int) -> tuple[np.ndarray, np.ndarray]:
+        rows = np.asarray(vecs.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(vecs), d)
+        return rows, np.sqrt(np.einsum("ij,ij->i", rows, rows))
+
+    held = vectors.sparkSession.sparkContext.broadcast((asked.column("qid").combine_chunks(), asked.column("vec").combine_chunks()))
+
+    def run(batches):
+        qids, qvecs = held.value
+        sizes = pc.list_value_length(qvecs)
+        for batch in batches:
+            batch = batch.take(pc.sort_indices(batch.column(0), null_placement="at_start"))  # ties go to the smaller doc_id
+            lengths = pc.list_value_length(batch.column(1))
+            for d in pc.unique(lengths).to_pylist():
+                some, own = batch.filter(pc.equal(lengths, d)), pc.equal(sizes, d)
+                asked, (v, v_norm), (q, q_norm) = qids.filter(own), matrix(some.column(1), d), matrix(qvecs.filter(own), d)
+                for at in range(0, len(asked), QUERY_ROWS):
+                    norms = q_norm[at : at + QUERY_ROWS, None] * v_norm
+                    sims = np.divide(q[at : at + QUERY_ROWS] @ v.T, norms, out=np.zeros_like(norms), where=~(norms <= 0))
+                    n = sims.shape[1]
+                    # rank by the rounded similarity, then by the place, in one integer
+                    key = -np.where(np.isnan(sims), -2e6, np.rint(sims * 1e6)).astype(np.int64) * n + np.arange(n)
+                    best = np.argpartition(key, k - 1, axis=1)[:, :k] if n > k else np.broadcast_to(np.arange(n), key.shape)
+                    found = np.take_along_axis(sims, best, axis=1).ravel()
+                    rows = np.repeat(np.arange(at, at + len(sims)), best.shape[1])
+                    yield pa.RecordBatch.from_arrays([asked.take(pa.array(rows)), some.column(0).take(pa.array(best.ravel())), pa.array(found, mask=np.isnan(found))], names=["qid", "doc_id", "sim"])
+
+    return vectors.select("doc_id", "vec").filter("vec is not null").mapInArrow(run, f"qid {kinds['qid']}, doc_id {kinds['doc_id']}, sim double")
+
+
+def cosine_top(queries: DataFrame, vectors: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """(qid, rank, doc_id, sim): a stated set of query vectors (qid, vec) against all vectors (doc_id, vec).
+
+    The queries are sent in blocks of about ``block`` rows, whatever their number.
+    """
+    ship(vectors.sparkSession)
+    asked = queries.filter("vec is not null").withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(max(1, -(-queries.count() // block)))))
+    blocks = sorted(r["block"] for r in asked.select("block").distinct().collect()) or [0]
+    sims = reduce(DataFrame.unionByName, [_block_top(asked.filter(F.col("block") == b), vectors, k) for b in blocks])
+    w = Window.partitionBy("qid").orderBy(F.rint(F.col("sim") * 1e6).desc(), "doc_id")
     return sims.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -464,6 +464,14 @@ def vector_cosine_topk(spark, d):
     return vectors.cosine_top(q, e, 10).select("qid", "rank", "doc_id", R("sim"))
 
 
+@_register("vector_cosine_by_20", S.query([f"s AS (SELECT q.vec_id AS qid, v.vec_id AS doc_id, {_COS('q.embedding', 'v.embedding')} AS sim FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0)"], "SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(sim, 6) DESC, doc_id)::INTEGER AS rank, doc_id, round(sim, 6) AS sim FROM s QUALIFY rank <= 10"))
+def vector_cosine_by_20(spark, d):
+    """The search set in full: every vector whose id is divisible by 20, against all vectors."""
+    e = spread(_t(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec")))
+    q = e.filter(F.col("doc_id") % 20 == 0).withColumnRenamed("doc_id", "qid")
+    return vectors.cosine_top(q, e, 10).select("qid", "rank", "doc_id", R("sim"))
+
+
 @_register("vector_normalized", f"SELECT vec_id, round({_DOT('embedding', 'embedding')}, 5) AS squared, round(embedding[1]::DOUBLE / sqrt({_DOT('embedding', 'embedding')}), 6) AS first FROM embeddings")
 def vector_normalized(spark, d):
     v = F.col("embedding")

@@ -183,3 +183,26 @@ def test_spread_keeps_rows_and_leaves_tiny_tables(spark):
     assert spread(one).rdd.getNumPartitions() > 1
     huge = spark.range(1 << 30)
     assert spread(huge).rdd.getNumPartitions() == huge.rdd.getNumPartitions()
+
+
+def test_cosine_search_in_blocks(spark):
+    """Ties, a zero vector, a null and another length, whatever the blocks of queries."""
+    rows = [(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(60)] + [(60, [0.0, 0.0, 0.0]), (61, None), (62, [1.0, 2.0])]
+    e = spark.createDataFrame(rows, "doc_id long, vec array<float>").repartition(3)
+    q = e.filter("doc_id % 20 = 0").withColumnRenamed("doc_id", "qid")
+
+    def cosine(a, b):
+        n = math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+        return sum(x * y for x, y in zip(a, b)) / n if n else 0.0
+
+    full = {i: v for i, v in rows if v is not None and len(v) == 3}
+    expected = {(i, r + 1, j) for i in full if i % 20 == 0 for r, j in enumerate(sorted(full, key=lambda j: (-round(cosine(full[i], full[j]), 6), j))[:5])}
+    for block in (1, 2, 100):
+        got = vectors.cosine_top(q, e, 5, block).collect()
+        assert {(r["qid"], r["rank"], r["doc_id"]) for r in got} == expected
+
+
+def test_search_set_is_every_twentieth_vector(spark, tmp_path):
+    spark.range(100).selectExpr("id as vec_id", "array(float(id), 1f) as embedding", "1 as label").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = plans.QUERIES["vector_cosine_by_20"](spark, str(tmp_path)).groupBy("qid").count().collect()
+    assert {(r["qid"], r["count"]) for r in got} == {(i, 10) for i in range(0, 100, 20)}
