@@ -21,6 +21,7 @@ from lexigrove.llm.bytes_kernel import chunks
 from lexigrove.llm.common import fold
 
 #: Rows of a language that train its model, and that calibrate, on the average. The draw is by a hash of the id and the text.
+#: A language of no more than TRAIN_ROWS rows trains with all of them, and only what is left over calibrates.
 TRAIN_ROWS, CALIBRATION_ROWS = 600, 300
 UNDETERMINED = "und"
 #: Accepted share of right calibration texts: what is worse than these is rejected.
@@ -103,14 +104,15 @@ def train(docs: DataFrame, eligible: Column, train_rows: int = TRAIN_ROWS, calib
     """
     ship(docs.sparkSession)
     rows = docs.select("doc_id", "text", "lang").filter(eligible & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not sizes:
-        return None
-    names = sorted(sizes)
     draw = F.pmod(F.xxhash64(F.lit("language"), "doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
-    both = F.create_map(*[F.lit(x) for k in names for x in (k, (train_rows + calibration_rows) / sizes[k])])[F.col("lang")]
-    share = train_rows / (train_rows + calibration_rows)
-    trained = rows.filter(draw < F.least(both, F.lit(1.0)) * share)
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(draw).alias("least")).collect()
+    if not found:
+        return None
+    per_language = lambda value: F.create_map(*[F.lit(x) for r in found for x in (r["lang"], value(r))])[F.col("lang")]
+    # all rows of a language that has no more than train_rows; of others at least the rows with the lowest draw
+    share = per_language(lambda r: max(min(1.0, train_rows / r["n"]), r["least"] + 2.0**-41))
+    both = per_language(lambda r: min(1.0, (train_rows + calibration_rows) / r["n"]))
+    trained = rows.filter(draw < share)
     counted = trained.select("lang", "text").mapInArrow(_gram_counts, "name string, gram long, n long").groupBy("name", "gram").agg(F.sum("n").alias("n")).toPandas()
     if not len(counted):
         return None
@@ -128,7 +130,7 @@ def train(docs: DataFrame, eligible: Column, train_rows: int = TRAIN_ROWS, calib
             right = [model_name == name for model_name, name in zip(np.array(held.value.names, dtype=object)[best], batch.column(0).to_pylist())]
             yield pa.RecordBatch.from_pandas(pd.DataFrame({"best": best, "least": least, "evidence": evidence, "right": right, "n": n}), preserve_index=False)
 
-    calibrating = rows.filter((draw >= F.least(both, F.lit(1.0)) * share) & (draw < both))
+    calibrating = rows.filter((draw >= share) & (draw < both))
     seen = calibrating.select("lang", "text").mapInArrow(measure, "best long, least double, evidence double, right boolean, n long").toPandas()
     seen = seen[seen["n"] > 0]
     if not len(seen):

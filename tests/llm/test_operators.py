@@ -271,6 +271,21 @@ def test_language(spark, odd, none):
     assert language_id.language_report(none).count() == 0 and language_id.language_report(odd).count() == 8
 
 
+def test_every_language_trains(spark):
+    """Languages of one to three rows train with all of them; one of many copies of a row is not lost."""
+    from lexigrove.llm import char_lm
+
+    rows = [(i * 10 + j, f"{chr(97 + i)}{chr(98 + j)}x", f"l{i:02}", "s") for i in range(20) for j in range(1 + i % 3)]
+    copies = [(1000 + i, f"copy{chr(97 + i)}", f"m{i}", "s") for i in range(9) for _ in range(40)]
+    model = language_id.train(docs_of(spark, rows + copies), F.lit(True), 5, 2).model
+    assert model.names == sorted({r[2] for r in rows + copies})
+    grams = set()
+    for text in {r[1] for r in rows + copies}:
+        s = [0, *text.encode(), 0]
+        grams |= {bytes(s[max(0, k - 3) : k + 1]).lstrip(b"\0") if s[k] else bytes(s[max(1, k - 3) : k + 1]) for k in range(1, len(s))}
+    assert len(model.grams[char_lm.ORDER - 1].hashes) - 1 == len(grams)
+
+
 def test_probabilities_sum_to_one(spark):
     from lexigrove.llm import bytes_kernel, char_lm
     import pyarrow as pa
