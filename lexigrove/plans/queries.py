@@ -167,6 +167,34 @@ def corpus_stats(spark, d):
     return s.select("n", *[R(f"avg_{f}") for f in C.FIELDS])
 
 
+# The same over documents as records: long, hot and null texts reach the corpus tables.
+_DOCUMENT_RECORDS = "docs AS MATERIALIZED (SELECT doc_id, coalesce(source, '') AS command, coalesce(text, '') AS description, []::VARCHAR[] AS keywords, CASE WHEN lang IS NULL THEN []::VARCHAR[] ELSE [lang] END AS tags, coalesce(lang, '') AS niche, []::VARCHAR[] AS platform, false AS pipeline FROM documents)"
+_DOCUMENT_CORPUS = [_DOCUMENT_RECORDS, S.TOKENS, S.POSTINGS, S.STATS]
+
+
+@_register("document_index_postings", S.query(_DOCUMENT_CORPUS, "SELECT term, doc_id, tf_cmd, tf_desc, tf_keys, tf_tags FROM postings"))
+def document_index_postings(spark, d):
+    return C.postings(C.field_tokens(document_records(spark, d)))
+
+
+@_register("document_index_df", S.query(_DOCUMENT_CORPUS, "SELECT term, df FROM frequency"))
+def document_index_df(spark, d):
+    return C.document_frequency(C.postings(C.field_tokens(document_records(spark, d))))
+
+
+@_register("document_field_lengths", S.query(_DOCUMENT_CORPUS, "SELECT doc_id, len_cmd::INTEGER AS len_cmd, len_desc::INTEGER AS len_desc, len_keys::INTEGER AS len_keys, len_tags::INTEGER AS len_tags, n_grams::INTEGER AS n_grams FROM stats"))
+def document_field_lengths(spark, d):
+    docs = document_records(spark, d)
+    return C.doc_stats(docs, C.field_tokens(docs))
+
+
+@_register("document_corpus_stats", S.query(_DOCUMENT_CORPUS, "SELECT n, round(avg_cmd, 6) AS avg_cmd, round(avg_desc, 6) AS avg_desc, round(avg_keys, 6) AS avg_keys, round(avg_tags, 6) AS avg_tags FROM totals"))
+def document_corpus_stats(spark, d):
+    docs = document_records(spark, d)
+    s = C.corpus_stats(C.doc_stats(docs, C.field_tokens(docs)))
+    return s.select("n", *[R(f"avg_{f}") for f in C.FIELDS])
+
+
 @_register("doc_term_df", S.query([f"t AS (SELECT DISTINCT doc_id, unnest({S.terms('text')}) AS term FROM documents)"], "SELECT term, count(*) AS df, round(ln(((SELECT count(*) FROM documents) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE) + 1), 6) AS idf FROM t GROUP BY term"))
 def doc_term_df(spark, d):
     docs = _docs(spark, d)

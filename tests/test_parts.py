@@ -206,3 +206,12 @@ def test_search_set_is_every_twentieth_vector(spark, tmp_path):
     spark.range(100).selectExpr("id as vec_id", "array(float(id), 1f) as embedding", "1 as label").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = plans.QUERIES["vector_cosine_by_20"](spark, str(tmp_path)).groupBy("qid").count().collect()
     assert {(r["qid"], r["count"]) for r in got} == {(i, 10) for i in range(0, 100, 20)}
+
+
+def test_index_over_documents(spark, tmp_path):
+    """Whole texts reach the index, long ones and nulls too."""
+    rows = [(1, "alpha beta alpha", "en", "web"), (2, None, None, None), (3, " ".join(["gamma"] * 50_000 + ["omega"]), "de", "web")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["term"], r["doc_id"]): r["tf_desc"] for r in plans.QUERIES["document_index_postings"](spark, str(tmp_path)).collect()}
+    assert got["alpha", 1] == 2 and got["gamma", 3] == 50_000 and got["omega", 3] == 1
+    assert plans.QUERIES["document_field_lengths"](spark, str(tmp_path)).count() == 3
