@@ -1,7 +1,9 @@
 """Vectorised views of text columns for functions that run in Arrow batches.
 
-A batch's texts are taken as bytes, long texts cut into pieces after a space and short ones
-put together, so that arrays stay at about ``CHUNK`` bytes whatever the texts' lengths.
+A batch's texts are taken as bytes, long texts cut into pieces after white space and short
+ones put together, so that arrays stay at about ``CHUNK`` bytes whatever the texts' lengths.
+A run without white space is never cut, so no word or character gram ends at a cut that
+does not end there anyway; a piece is as long as such a run may be.
 """
 
 from __future__ import annotations
@@ -23,15 +25,28 @@ def text_buffer(column: pa.Array) -> tuple[memoryview, np.ndarray]:
     return data, offsets
 
 
+#: ASCII white space: it ends words as well as runs of visible characters.
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
 def _cuts(data: memoryview, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """The pieces of a text: after the last white space of each ``PIECE`` bytes or, without any there, after the next one."""
     while end - start > PIECE:
-        tail = np.frombuffer(data[start + PIECE - 4096 : start + PIECE], dtype=np.uint8)
-        spaces = np.flatnonzero(tail == 0x20)
-        if len(spaces):
-            cut = start + PIECE - 4096 + int(spaces[-1]) + 1
-        else:  # no space near: before any byte that begins a character
-            heads = np.flatnonzero((tail & 0xC0) != 0x80)
-            cut = start + PIECE - 4096 + int(heads[-1])
+        cut = None
+        for low in range(start + PIECE - 4096, start - 1, -4096):
+            spaces = np.flatnonzero(_SPACE[np.frombuffer(data[low : low + 4096], dtype=np.uint8)])
+            if len(spaces):
+                cut = low + int(spaces[-1]) + 1
+                break
+        at = start + PIECE
+        while cut is None and at < end:
+            spaces = np.flatnonzero(_SPACE[np.frombuffer(data[at : min(at + PIECE, end)], dtype=np.uint8)])
+            if len(spaces):
+                cut = at + int(spaces[0]) + 1
+            at += PIECE
+        if cut is None or cut >= end:
+            break
         yield start, cut
         start = cut
     yield start, end

@@ -42,19 +42,35 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     if not _written:
         atexit.register(release)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
 
 
-def release() -> None:
-    """Delete the intermediate tables written so far. Results that read them become unusable."""
-    while _written:
+def written() -> int:
+    """How many intermediate tables there are; release(written()) later deletes those written from then on."""
+    return len(_written)
+
+
+def release(since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Delete the intermediate tables written after the first ``since`` of them, but for ``keep``, results of materialize().
+
+    Results that read the deleted ones become unusable.
+    """
+    kept = {df._written_at for df in keep}
+    left = []
+    while len(_written) > since:
         spark, path = _written.pop()
+        if path in kept:
+            left.append((spark, path))
+            continue
         try:
             jvm = spark.sparkContext._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
         except Exception:  # the session has ended; the folder's owner cleans up
             return
+    _written.extend(reversed(left))
 
 
 def small_side(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import re
 from collections import Counter, defaultdict
 
@@ -244,6 +245,118 @@ def test_deduplicate(spark, copies, odd, none):
     assert near_duplicates.near_duplicates(none).count() == 0 and near_duplicates.deduplicate(none).count() == 0
 
 
+def union_find(links):
+    parent = {}
+
+    def find(i):
+        while parent.setdefault(i, i) != i:
+            i = parent[i]
+        return i
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {i: find(i) for i in list(parent)}
+
+
+@pytest.mark.parametrize("shape", ["path", "tree", "cycle", "many"])
+def test_components_equal_union_find(spark, shape):
+    rng = np.random.default_rng(len(shape))
+    n = 200
+    names = rng.permutation(n)
+    ends = {
+        "path": [(i, i + 1) for i in range(n - 1)],
+        "tree": [(int(rng.integers(0, i)), i) for i in range(1, n)],
+        "cycle": [(i, (i + 1) % 4) for i in range(4)] + [(4 + i, 4 + (i + 1) % (n - 4)) for i in range(n - 4)],
+        "many": [(int(a), int(b)) for a, b in rng.integers(0, n, (120, 2))],
+    }[shape]
+    links = [(int(names[a]), int(names[b])) for a, b in ends]
+    got, count = near_duplicates.components(spark.createDataFrame(links, "a long, b long"))
+    want = union_find([x for x in links if x[0] != x[1]])
+    assert dict(map(tuple, got.collect())) == want and count == len(want)
+
+
+def chain(n, step, words=160):
+    """Texts each of which has ``step`` more new words in front than the one before: neighbours are similar, the ends are not."""
+    long = [f"c{i}" for i in range(words + n * step)]
+    return [" ".join(long[i * step : i * step + words]) for i in range(n)]
+
+
+def test_chained_near_duplicates_are_one_class(spark):
+    rng = np.random.default_rng(12)
+    texts = chain(12, 10) + ["alone " + " ".join(f"z{i}" for i in range(50))]
+    ids = rng.permutation(len(texts)) + 1
+    rows = [(int(i), t) for i, t in zip(ids, texts)]
+    got = {r["doc_id"]: r for r in near_duplicates.near_duplicates(docs_of(spark, [(i, t, "en", "s") for i, t in rows])).collect()}
+    assert len({got[int(i)]["class_id"] for i in ids[:12]}) == 1 and got[int(ids[0])]["members"] == 12
+    assert got[int(ids[12])]["members"] == 1 and sum(r["kept"] for r in got.values()) == 2
+
+
+def test_slices_count_exactly(spark):
+    """Texts of several slices, of different levels, and hubs dealt over several groups have the same links."""
+    rng = np.random.default_rng(13)
+    base = [f"w{i}" for i in rng.integers(0, 10_000, 700)]
+    rows = [(i, " ".join(base[: 480 + 20 * i])) for i in range(12)]
+    for i in range(12, 40):
+        b = list(base[: int(rng.integers(500, 560))])
+        for at in rng.integers(0, 500, int(rng.integers(0, 25))):
+            b[at] = "other"
+        rows.append((i, " ".join(b)))
+    text = {i: t for i, t in rows}
+    units = spark.createDataFrame([(near_duplicates_key(t), t) for t in text.values()], "key binary, text string").mapInArrow(near_duplicates._units(0.8, 64), "key binary, level int, part int, own boolean, units array<long>")
+    every = [(a, b) for a in text for b in text if a < b]
+    size = {i: sum(grams(t).values()) for i, t in text.items()}
+    pairs = spark.createDataFrame([(near_duplicates_key(text[a]), near_duplicates_key(text[b]), size[a], size[b]) for a, b in every if min(size[a], size[b]) >= 0.8 * max(size[a], size[b])], "a binary, b binary, weight_a long, weight_b long")
+    got = {(bytes(r["a"]), bytes(r["b"])) for r in near_duplicates._linked(pairs, units, 0.8, 64, 2).collect()}
+    want = set()
+    for a, b in every:
+        x, y = grams(text[a]), grams(text[b])
+        if sum((x & y).values()) >= 0.8 * sum((x | y).values()):
+            want.add((near_duplicates_key(text[a]), near_duplicates_key(text[b])))
+    assert got == want and len(want) > 20
+
+
+def near_duplicates_key(t):
+    return hashlib.md5(t.encode()).digest()
+
+
+def test_recall_of_all_similar_pairs(spark):
+    """Every pair of the table at 0.8 or more lies in one class, and classes are those of the exact links."""
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("needs the test tables")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").orderBy("doc_id").collect()]
+    sets, by_gram = {i: grams(t or "") for i, t in rows}, defaultdict(list)
+    for i, s in sets.items():
+        for g in s:
+            by_gram[g].append(i)
+    met = {(a, b) for members in by_gram.values() for k, b in enumerate(members) for a in members[:k]}
+    links = [(a, b) for a, b in met if sum((sets[a] & sets[b]).values()) >= 0.8 * sum((sets[a] | sets[b]).values())]
+    equal = defaultdict(list)
+    for i, t in rows:
+        if t is not None:
+            equal[t].append(i)
+    links += [(x[0], i) for x in equal.values() for i in x[1:]]
+    want = union_find(links)
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates.near_duplicates(docs).collect()}
+    assert got == {i: want.get(i, i) for i, _ in rows}
+
+
+def test_long_texts_without_spaces_are_one_word():
+    """The words and shingles of a text do not depend on where it is cut."""
+    import pyarrow as pa
+
+    from lexigrove.llm import bytes_kernel
+
+    texts = ["x" * 5_000_000, "\n".join(f"line{i}" for i in range(40_000)), "a-b " * 60_000, "tail"]
+    counts = Counter()
+    for chunk, starts, rows in bytes_kernel.chunks(pa.array(texts)):
+        _, at = bytes_kernel.word_hashes(chunk)
+        counts.update(rows[np.searchsorted(starts, at, "right") - 1].tolist())
+    assert [counts[i] for i in range(4)] == [1, 40_000, 120_000, 1]
+
+
 def test_dart_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(1)
     e = rng.integers(1, 2**62, 300).astype(np.uint64)
