@@ -160,7 +160,7 @@ def test_nra_stops_early_and_is_exact():
 
 
 def check_shards(got, n):
-    assert (got["slot"] == got.sort_values(["shard", "slot"]).groupby("shard").cumcount()).all()
+    assert (got["slot"] == got.sort_values(["shard", "slot"]).groupby("shard").cumcount().sort_index()).all()
     assert got["shard"].between(0, n - 1).all() and (got["law"] == "bytes").all() and got["grown_shard"].isna().all()
 
 
@@ -181,6 +181,31 @@ def test_shards(spark, odd, none):
     assert set(whole.columns) == set(odd.columns) and whole.count() == 8
 
 
+@pytest.mark.parametrize("kind", ["random", "even", "hot", "repeated"])
+def test_groups_that_fit_a_shard_are_whole(spark, kind):
+    """Against the rules stated plainly: which groups may be cut, into how many shards, and how equal the shards are."""
+    rng = np.random.default_rng(20)
+    sizes = {"random": rng.integers(1, 40, 300), "even": [8] * 40, "hot": [1] * 300, "repeated": [1] * 300}[kind]
+    rows, i = [], 0
+    for g, n in enumerate(sizes):
+        text = f"group {g} " + "y" * int(rng.integers(0, 300) if kind != "even" else 400)
+        for _ in range(int(n)):
+            rows, i = [*rows, (i, text)], i + 1
+    if kind == "even":
+        rows += [(i + k, f"lone {k} " + "z" * 400) for k in range(2600)]
+    if kind == "hot":  # one text holds a third of all bytes
+        rows += [(i + k, "hot " + "x" * 180) for k in range(150)]
+    if kind == "repeated":  # one row, id and all
+        rows += [(7, "hot " + "x" * 180)] * 150
+    got = sharding.shards(docs_of(spark, [(k, t, "en", "s") for k, t in rows]).repartition(4), n_shards=10, range_rows=40).toPandas()
+    check_shards(got, 10)
+    assert sorted(got["doc_id"]) == sorted(k for k, _ in rows)
+    load, mean = got.groupby("shard")["size"].sum().reindex(range(10), fill_value=0), got["size"].sum() / 10
+    for _, g in got.groupby("text_crc32"):
+        assert g["shard"].nunique() <= (1 if g["size"].sum() <= mean else math.ceil(g["size"].sum() / mean) + 1)
+    assert load.max() - load.min() <= 0.1 * mean, load.tolist()
+
+
 # --- near duplicates ----------------------------------------------------------------------------
 
 
