@@ -1,10 +1,11 @@
 """Benchmark decontamination with built-in functions only.
 
-The windows of all benchmark items form a hash set. Its bits (two probes, 64 bits a
-window) travel in the plan as one constant array, so that the scan of the documents tests
-every token window where it stands, in the same pass that splits the text. Windows that
-pass are compared as strings with the set, which verifies them; the covered words and the
-items found are then gathered by row.
+The windows of all benchmark items form a hash set. Its bits travel in the plan as constant
+arrays, so that the scan of the documents tests every token window where it stands, in the
+same pass that splits the text: each word is hashed once, a window is first probed by its
+first and last word's hashes, then by the hash of all its word hashes. Windows that pass are
+compared as strings with the set, which verifies them; the covered words and the items
+found are then gathered by row.
 """
 
 from __future__ import annotations
@@ -14,11 +15,15 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexigrove.llm.common import BROADCAST_ROWS, materialize, small_side, words_of
+from lexigrove.llm.common import materialize, small_side, words_of
 
 WINDOW = 10
-#: So many different windows at most are tested by bits (8 bytes each); beyond, all windows go to the comparison.
-BIT_WINDOWS = 200_000
+#: 64-bit words of one bit array at most, and bits a window at least and at most. A set too large for one array has several, all tested in the same scan.
+BIT_WORDS, LEAST_BITS, MOST_BITS = 1 << 16, 16, 128
+#: Bytes, as counted, of a window table that is broadcast.
+BROADCAST_BYTES = 32 << 20
+#: Contaminated documents that are broadcast to take them out; more are joined by a shuffle.
+REMOVED_ROWS = 100_000
 
 
 def window_set(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
@@ -31,13 +36,34 @@ def window_set(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     return exploded.groupBy("gram", "length").agg(F.collect_set("item").alias("items"))
 
 
-def _bits(hashes: list[int]) -> tuple[list[int], int]:
-    size = 1 << max(10, (64 * len(hashes) - 1).bit_length())
-    words = [0] * (size // 64)
-    for h in hashes:
-        for at in (h & (size - 1), (h >> 32) & (size - 1)):
-            words[at >> 6] |= 1 << (at & 63)
-    return [w - (1 << 64) if w >> 63 else w for w in words], size
+def _hashed(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _ends(hashes: Column | str, first: Column | int, length: int | Column) -> Column:
+    """The hash of a window's first and last word."""
+    return F.get(hashes, first).bitwiseXOR(F.shiftright(F.get(hashes, first + length - 1), 1))
+
+
+def _all(hashes: Column | str, first: Column, length: int | Column) -> Column:
+    return F.xxhash64(F.slice(hashes, first + 1, length))
+
+
+def _bit_arrays(windows: DataFrame, counted: int) -> tuple[Column, int]:
+    """(the bit arrays of all blocks of the set, the size of each in bits); the bits are summed where the windows are."""
+    blocks = max(1, -(-counted * LEAST_BITS // (64 * BIT_WORDS)))
+    size = min(64 * BIT_WORDS, 1 << max(10, (MOST_BITS * counted // blocks).bit_length()))
+    hashes = _hashed(F.split("gram", " "))
+    probes = [h for name in ("ends", "all") for h in (F.col(name), F.shiftright(name, 32))]
+    hashed = windows.select(F.pmod(F.xxhash64("gram"), F.lit(blocks)).cast("int").alias("block"), hashes.alias("h"), "length")
+    hashed = hashed.select("block", _ends("h", F.lit(0), F.col("length")).alias("ends"), _all("h", F.lit(0), F.col("length")).alias("all"))
+    at = hashed.select("block", F.explode(F.array(*[p.bitwiseAND(F.lit(size - 1)) for p in probes])).alias("at"))
+    one = F.expr("shiftleft(1L, cast(at & 63 as int))")
+    rows = at.groupBy("block", F.shiftright("at", 6).cast("int").alias("word")).agg(F.bit_or(one).alias("bits"))
+    arrays = [[0] * (size // 64) for _ in range(blocks)]
+    for block, word, bits in rows.collect():  # at most BIT_WORDS rows a block
+        arrays[block][word] = bits
+    return F.from_json(F.lit(json.dumps(arrays)), "array<array<bigint>>"), size
 
 
 def _probe(h: Column, bits: Column, size: int) -> Column:
@@ -51,25 +77,24 @@ def _probe(h: Column, bits: Column, size: int) -> Column:
 def hits(docs: DataFrame, benchmark: DataFrame, carry: dict[str, Column], width: int = WINDOW) -> DataFrame:
     """One row per document: ``carry``, n_words, covered (array of word positions), found (array of items)."""
     windows = materialize(window_set(benchmark, width), "benchmark-windows")
-    counted = windows.count()
+    size_of = F.octet_length("gram") + F.aggregate("items", F.lit(64), lambda n, item: n + F.octet_length(item) + 24)
+    counted, volume = windows.agg(F.count("*"), F.coalesce(F.sum(size_of), F.lit(0))).first()
     lengths = sorted(r[0] for r in windows.select("length").distinct().collect())  # at most ``width`` values
-    bits = size = None
-    if 0 < counted <= BIT_WINDOWS:
-        words, size = _bits([r[0] for r in windows.select(F.xxhash64(F.split("gram", " "))).collect()])
-        bits = F.from_json(F.lit(json.dumps(words)), "array<bigint>")
+    arrays = {n: _bit_arrays(part, m) for n in lengths if (m := (part := windows.filter(F.col("length") == n)).count())}
 
     def found(n: int) -> Column:
-        starts = F.when(F.size("words") >= n, F.sequence(F.lit(0), F.size("words") - n)).otherwise(F.array().cast("array<int>"))
-        if bits is not None:
-            starts = F.filter(starts, lambda i: _probe(F.xxhash64(F.slice("words", i + 1, n)), bits, size))
-        return F.transform(starts, lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), F.array_join(F.slice("words", i + 1, n), " ").alias("gram")))
+        blocks, size = arrays[n]
+        starts = F.when(F.size("h") >= n, F.sequence(F.lit(0), F.size("h") - n)).otherwise(F.array().cast("array<int>"))
+        passed = F.transform(blocks, lambda bits: F.filter(starts, lambda i: _probe(_ends("h", i, n), bits, size) & _probe(_all("h", i, n), bits, size)))
+        return F.transform(F.array_distinct(F.flatten(passed)), lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), F.array_join(F.slice("words", i + 1, n), " ").alias("gram")))
 
     none = F.array().cast("array<struct<at:int,n:int,gram:string>>")
     worded = docs.select(*[c.alias(k) for k, c in carry.items()], words_of(F.col("text")).alias("words"))
+    worded = worded.select(*carry, "words", _hashed(F.col("words")).alias("h"))
     maybe = worded.select(F.monotonically_increasing_id().alias("uid"), *carry, F.size("words").cast("long").alias("n_words"), (F.concat(*map(found, lengths)) if lengths else none).alias("maybe"))
     opened = maybe.select("uid", *carry, "n_words", F.explode_outer("maybe").alias("w"))
-    w = small_side(windows.select(F.col("gram").alias("window_gram"), "items"), counted, min(BROADCAST_ROWS, BIT_WINDOWS))
-    sure = opened.join(w, opened["w"]["gram"] == w["window_gram"], "left")
+    known = windows.select(F.col("gram").alias("window_gram"), "items")
+    sure = opened.join(F.broadcast(known) if volume <= BROADCAST_BYTES else known, opened["w"]["gram"] == known["window_gram"], "left")
     spot = F.when(F.col("items").isNotNull(), F.struct(F.col("w")["at"].alias("at"), F.col("w")["n"].alias("n")))
     gathered = sure.groupBy("uid", *carry, "n_words").agg(F.collect_list(spot).alias("spots"), F.collect_set("items").alias("lists"))
     covered = F.array_distinct(F.flatten(F.transform("spots", lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1))))
@@ -94,14 +119,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", width: int = WINDOW) -> DataFrame:
     """``docs`` without contaminated documents, or (``remove="spans"``) without the words that are hit.
 
-    The columns stay as they are. A removed word goes with the separator that follows it.
+    The columns stay as they are, whatever their names. A removed word goes with the
+    separator that follows it. Null, empty and wordless texts and null ids stay; repeated
+    rows are treated alike; an empty benchmark removes nothing.
     """
     if remove not in ("documents", "spans"):
         raise ValueError("remove is 'documents' or 'spans'")
     key = {"key_id": F.col("doc_id"), "key_text": F.md5(F.col("text").cast("binary"))}
     bad = hits(docs, benchmark, key, width).filter(F.size("covered") > 0).select("key_id", "key_text", "covered")
     bad = materialize(bad.dropDuplicates(["key_id", "key_text"]), "contaminated")
-    side = small_side(bad, bad.count())
+    side = small_side(bad, bad.count(), REMOVED_ROWS)
     same = docs["doc_id"].eqNullSafe(side["key_id"]) & (F.md5(docs["text"].cast("binary")) == side["key_text"])
     if remove == "documents":
         return docs.join(side, same, "left_anti")

@@ -104,10 +104,11 @@ def brute_hits(texts, items):
     return out
 
 
-@pytest.mark.parametrize("bits", [True, False])
-def test_contamination(spark, monkeypatch, bits):
-    if not bits:
-        monkeypatch.setattr(decontamination, "BIT_WINDOWS", 0)
+@pytest.mark.parametrize("small", [False, True])
+def test_contamination(spark, monkeypatch, small):
+    if small:  # several bit arrays, crowded ones, and no broadcast
+        monkeypatch.setattr(decontamination, "BIT_WORDS", 2)
+        monkeypatch.setattr(decontamination, "BROADCAST_BYTES", 0)
     rng = np.random.default_rng(2)
     vocab = ["É", "ab", "c1", "the", "x", "Zü", "of"]
     text = lambda n: " ".join(rng.choice(vocab, n))
@@ -118,6 +119,23 @@ def test_contamination(spark, monkeypatch, bits):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(brute_hits(texts, items), key=str)
 
 
+def test_contamination_by_many_windows(spark):
+    """A set of over 200,000 windows: hits inside long items, and near misses that differ in one word."""
+    rng = np.random.default_rng(14)
+    item = [f"v{i}" for i in rng.integers(0, 50_000, 230_000)]
+    items = [(1, " ".join(item[:115_000])), (2, " ".join(item[115_000:])), (3, "short one")]
+    texts = []
+    for i, at in enumerate(rng.integers(0, 229_000, 60)):
+        w = item[at : at + 30]
+        if i % 2:
+            w[4::9] = ["changed"] * len(w[4::9])
+        texts.append((i, "before " + " ".join(w) + " after"))
+    texts += [(100, "a short one too"), (101, None), (102, " ".join(item[100:40_000]))]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.contamination(docs_of(spark, [(i, t, "en", "s") for i, t in texts]), b)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(brute_hits(texts, items), key=str)
+
+
 def test_decontaminate_removes(spark, odd, none):
     b = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven")], "item_id long, text string")
     d = docs_of(spark, [(1, "Before ONE two three four five six seven eight nine ten. after", "en", "s"), (2, "clean text", "en", "s"), (None, None, "en", "s")])
