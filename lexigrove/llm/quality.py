@@ -1,7 +1,8 @@
 """Quality by attention-based multiple-instance learning.
 
 A document is a bag of passages, ``PASSAGE`` bytes each, and only the bag has a label. A
-passage is encoded by the shares of byte classes, of their neighbouring pairs, and of
+passage is encoded by its words and pairs of neighbouring words, hashed with signs into
+``HASHED`` places each, by the shares of byte classes and of their neighbouring pairs, and of
 repeated and long words; one dense layer embeds it. Gated attention,
 ``w . (tanh(V h) * sigmoid(U h))`` with a softmax over the document's passages, weighs the
 passages, and the weighted mean of their embeddings gives the score. All weights are
@@ -14,16 +15,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigrove.cluster import ship
-from lexigrove.llm.bytes_kernel import chunks, word_hashes
+from lexigrove.llm.bytes_kernel import chunks, mix64, word_hashes
 from lexigrove.llm.common import fold
 
 PASSAGE = 600
-#: Labelled documents in the sample, on the average of a draw by hash; passages drawn from a longer document of the sample.
-TRAIN_DOCS, TRAIN_PASSAGES = 6000, 48
+#: Labelled documents in the sample, on the average of a draw by hash. All passages of each are learned from.
+TRAIN_DOCS = 6000
+HASHED = 128
 EMBED, GATE, EPOCHS, SEED = 32, 16, 40, 7
 THRESHOLD = 0.3
 
@@ -42,11 +45,12 @@ BYTE_CLASS[[33, 39, 34, 45, 58, 59, 63]] = 8
 BYTE_CLASS[[40, 41, 60, 62, 91, 93, 123, 125]] = 9
 BYTE_CLASS[[47, 92, 124]] = 10
 CLASSES = 12
-FEATURES = CLASSES + CLASSES * CLASSES + 6
+FEATURES = CLASSES + CLASSES * CLASSES + 6 + 2 * HASHED
 
 
 def passages(column: pa.Array):
     """(row of each passage, passages x FEATURES) for some texts at a time; a text without bytes is one passage of zeros."""
+    whole = np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.float64)
     for chunk, starts, rows in chunks(column):
         raw = BYTE_CLASS[np.frombuffer(chunk, dtype=np.uint8)]
         ends = np.append(starts[1:], len(chunk)) - 1
@@ -73,8 +77,22 @@ def passages(column: pa.Array):
         distinct = np.bincount(of[order][new], minlength=total)
         some = np.maximum(n, 1)
         letters = one[:, [4, 5, 6]].sum(axis=1)
-        extra = np.stack([np.bincount(of[again], minlength=total) / some, distinct / some, np.minimum(letters / some, 30.0) / 10.0, np.log1p(n) / 5.0, np.log1p(np.repeat(length, count)) / 10.0, (n == 0).astype(float)], axis=1)
-        yield rows[np.repeat(np.arange(len(rows)), count)], np.concatenate([one / size, two / size * 2.0, extra], axis=1).astype(np.float32)
+        extra = np.stack([np.bincount(of[again], minlength=total) / some, distinct / some, np.minimum(letters / some, 30.0) / 10.0, np.log1p(n) / 5.0, np.log1p(whole[np.repeat(rows, count)]) / 10.0, (n == 0).astype(float)], axis=1)
+        root = np.sqrt(some)[:, None]
+        pairs = mix64(words[:-1] * _PAIR + words[1:])
+        joined = of[1:] == of[:-1]
+        hashed = [_hashed(words, of, total) / root, _hashed(pairs[joined], of[1:][joined], total) / root]
+        yield rows[np.repeat(np.arange(len(rows)), count)], np.concatenate([one / size, two / size * 2.0, extra, *hashed], axis=1).astype(np.float32)
+
+
+_PAIR = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _hashed(hashes: np.ndarray, of: np.ndarray, total: int) -> np.ndarray:
+    """(passages x HASHED) sums of signs; place and sign come from the hash."""
+    place = (hashes >> np.uint64(32)) % np.uint64(HASHED)
+    sign = np.where((hashes >> np.uint64(20)) & np.uint64(1), 1.0, -1.0)
+    return np.bincount(of * HASHED + place.astype(np.int64), weights=sign, minlength=total * HASHED).reshape(total, HASHED)
 
 
 @dataclass
@@ -100,8 +118,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def fit(bag: np.ndarray, x: np.ndarray, label: np.ndarray) -> AttentionModel:
     """Train on passages ``x`` of bags ``bag`` (0, 1, ..., sorted) with a label each."""
     rng = np.random.default_rng(SEED)
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-2
-    z = (x - mean) / scale
+    mean, scale = x.mean(axis=0, dtype=np.float64), x.std(axis=0, dtype=np.float64) + 1e-2
     w = {
         "E": rng.normal(0, 1 / np.sqrt(FEATURES), (FEATURES, EMBED)), "e": np.zeros(EMBED), "V": rng.normal(0, 0.2, (EMBED, GATE)), "U": rng.normal(0, 0.2, (EMBED, GATE)),
         "a": rng.normal(0, 0.2, GATE), "c": np.zeros(EMBED), "b": np.zeros(1),
@@ -116,7 +133,7 @@ def fit(bag: np.ndarray, x: np.ndarray, label: np.ndarray) -> AttentionModel:
             rows = np.concatenate([np.arange(starts[b], starts[b + 1]) for b in bags])
             owner = np.repeat(np.arange(len(bags)), starts[bags + 1] - starts[bags])
             first = np.searchsorted(owner, np.arange(len(bags)))
-            zi, y = z[rows], label[bags]
+            zi, y = (x[rows] - mean) / scale, label[bags]
             h = np.tanh(zi @ w["E"] + w["e"])
             t, g = np.tanh(h @ w["V"]), _sigmoid(h @ w["U"])
             s = (t * g) @ w["a"]
@@ -141,12 +158,12 @@ def fit(bag: np.ndarray, x: np.ndarray, label: np.ndarray) -> AttentionModel:
     return AttentionModel(mean.astype(np.float32), scale.astype(np.float32), {k: v.astype(np.float32) for k, v in w.items()})
 
 
-def train(docs: DataFrame, labels: DataFrame, eligible: Column, train_docs: int = TRAIN_DOCS, train_passages: int = TRAIN_PASSAGES) -> AttentionModel | None:
+def train(docs: DataFrame, labels: DataFrame, eligible: Column, train_docs: int = TRAIN_DOCS) -> AttentionModel | None:
     """Learn from ``docs`` (doc_id, text) that are ``eligible`` and that ``labels`` (doc_id, quality) knows; None if there are none.
 
-    At most about ``train_docs`` labelled rows, drawn by a hash of the id, and of each at most
-    ``train_passages`` passages, drawn evenly, reach the driver. An id with several labels has
-    the larger one; labels other than 0 and 1 do not count.
+    The passages of about ``train_docs`` labelled rows at most, drawn by a hash of the id,
+    reach the driver, as half-precision numbers. An id with several labels has the larger
+    one; labels other than 0 and 1 do not count; rows alike in id and passages are one.
     """
     ship(docs.sparkSession)
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("labelled")).agg(F.max("quality").cast("int").alias("quality"))
@@ -157,21 +174,23 @@ def train(docs: DataFrame, labels: DataFrame, eligible: Column, train_docs: int
     some = docs.select("doc_id", "text").filter(eligible).join(F.broadcast(drawn), F.col("doc_id") == F.col("labelled")).select("doc_id", "text", "quality")
 
     def features(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (piece for whole in batches for piece in _pieces(whole)):
             rows, parts = zip(*passages(batch.column(1)))
-            row, x = np.concatenate(rows), np.concatenate(parts)
+            row, x = np.concatenate(rows), np.concatenate(parts).astype(np.float16)
             starts = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            kept = [np.unique(np.linspace(a, b - 1, min(b - a, train_passages)).astype(np.int64)) for a, b in zip(starts[:-1], starts[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x[k].tobytes() for k in kept], pa.binary())], names=["doc_id", "quality", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:])], pa.binary())], names=["doc_id", "quality", "x"])
 
     got = some.mapInArrow(features, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int, x binary").toPandas()
     if not len(got):
         return None
     got = got.sort_values(["doc_id", "x"], kind="stable").drop_duplicates()  # the same order whatever the partitions
-    x = [np.frombuffer(b, np.float32).reshape(-1, FEATURES) for b in got["x"]]
-    return fit(np.repeat(np.arange(len(x)), [len(p) for p in x]), np.concatenate(x), got["quality"].to_numpy(np.float64))
+    sizes, label = [len(b) // (2 * FEATURES) for b in got["x"]], got["quality"].to_numpy(np.float64)
+    x = np.frombuffer(b"".join(got.pop("x")), np.float16).reshape(-1, FEATURES)
+    return fit(np.repeat(np.arange(len(sizes)), sizes), x, label)
+
+
+def _pieces(batch: pa.RecordBatch, rows: int = 256):
+    return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
 
 
 def score_texts(model: AttentionModel | None, column: pa.Array) -> np.ndarray:
@@ -212,8 +231,9 @@ def score(docs: DataFrame, model: AttentionModel | None, column: str = "score")
 def quality_report(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs`` (doc_id, text).
 
-    Other columns are not looked at. Null texts score as empty ones; repeated rows score
-    alike; without labelled rows the score is 0.5; an empty table gives no rows.
+    Other columns, whatever their names, are not looked at. Null texts score as empty ones,
+    null ids are ids without a label; repeated rows score alike; without labelled rows the
+    score is 0.5; whole texts of any length count; an empty table gives no rows.
     """
     own = docs.select("doc_id", "text")
     out = score(own, train(own, labels, fold(F.col("doc_id"), folds) != held_out))
@@ -221,7 +241,13 @@ def quality_report(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject, with their columns."""
+    """The rows of ``docs`` that the classifier does not reject, with their columns, whatever their names.
+
+    Null texts are scored as empty ones; repeated rows are kept or rejected alike; without
+    labelled rows all are kept; whole texts of any length count; no rows give no rows.
+    """
     model = train(docs.select("doc_id", "text"), labels, fold(F.col("doc_id"), folds) != held_out)
-    mark = "__quality_score"
+    mark = "quality_score"
+    while mark in map(str.lower, docs.columns):
+        mark += "_"
     return score(docs, model, mark).filter(F.col(mark) >= THRESHOLD).drop(mark)

@@ -492,6 +492,43 @@ def test_quality(spark, odd, none):
     assert quality.quality_report(none, labels).count() == 0
     kept = quality.keep_good(docs_of(spark, rows), labels)
     assert "score" in kept.columns and kept.count() == pytest.approx(266, abs=8)
+    own = docs_of(spark, rows).withColumn("quality_score", F.col("doc_id") * 2).withColumn("__quality_score", F.lit("x"))
+    kept = quality.keep_good(own, labels)
+    assert kept.columns == own.columns and kept.filter("quality_score <> doc_id * 2 or __quality_score <> 'x'").count() == 0
+
+
+def test_quality_reads_words_in_order():
+    """The encoder tells a text from the same words in another order, and from the same letters in other words."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(15)
+    nouns, verbs = [f"noun{c}" for c in "abcdefgh"], [f"verb{c}" for c in "abcdefgh"]
+    good = [" ".join(w for _ in range(60) for w in (str(rng.choice(nouns)), str(rng.choice(verbs)))) for _ in range(300)]
+    mixed = [" ".join(rng.permutation(t.split())) for t in good]
+    parts = [list(quality.passages(pa.array(kind))) for kind in (good[:200], mixed[:200])]
+    row = np.concatenate([np.concatenate([r for r, _ in p]) + 200 * k for k, p in enumerate(parts)])
+    x = np.concatenate([np.concatenate([x for _, x in p]) for p in parts])
+    model = quality.fit(row, x, np.repeat([1.0, 0.0], 200))
+    assert (quality.score_texts(model, pa.array(good[200:])) > 0.5).mean() > 0.9
+    assert (quality.score_texts(model, pa.array(mixed[200:])) < 0.5).mean() > 0.9
+
+
+def test_quality_equals_brute_force():
+    """Scores of whole texts, in chunks with a running softmax, are those of one softmax over all passages; long texts count to their end."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(16)
+    model = quality.fit(np.arange(40), rng.normal(0, 1, (40, quality.FEATURES)).astype(np.float32), (np.arange(40) % 2).astype(float))
+    texts = ["a few words", "", None, "w\n" * 300_000, "x" * 700_000, LONG]
+    got = quality.score_texts(model, pa.array(texts))
+    for t, score in zip(texts, got):
+        x = np.concatenate([x for _, x in quality.passages(pa.array([t], pa.string()))])
+        assert len(x) >= max(1, len(t or "") // quality.PASSAGE)
+        h, s = model.embed(x)
+        e = np.exp(s.astype(float) - s.max())
+        assert score == pytest.approx(float(model.score((e[:, None] * h).sum(axis=0)[None] / e.sum())[0]), abs=1e-5)
+    length = quality.CLASSES + quality.CLASSES**2 + 4  # the place of the length
+    assert {round(float(v), 4) for _, x in quality.passages(pa.array([texts[3]])) for v in x[:, length]} == {round(math.log1p(600_000) / 10, 4)}
 
 
 def test_attention_weighs_passages():
