@@ -207,24 +207,32 @@ def tokenizer_at(path: str) -> Tokenizer:
 EDITS_TYPE = "array<struct<start:long,length:long,replacement:string>>"
 
 
-def edited_counts(docs: DataFrame, edits: Column, path: str) -> DataFrame:
+def edited_counts(docs: DataFrame, edits: Column, path: str | None) -> DataFrame:
     """doc_id, n_chars, n_pretokens, n_tokens, n_edits, n_reencoded, n_chars_after, n_tokens_after of each row.
 
     ``docs`` needs doc_id and text. ``edits`` is an array of (start, length, replacement) in
     characters, applied in order, each to the text that the earlier ones left; starts and
     lengths beyond the text are cut to it. Null text is empty, null edits are none, and a
-    null field of an edit is 0 or empty. Repeated rows count each; no rows give no rows. A
-    document is held by one task at a time, and its tree is the only thing that is kept.
+    null field of an edit is 0 or empty. Repeated rows count each; no rows give no rows; other
+    columns, whatever their names, are not looked at. A document, however long, is held by
+    one task at a time, and its tree is the only thing that is kept. ``path`` is a vocabulary
+    file that the driver can read; it is sent to the executors. ValueError if it is None or
+    not there.
     """
     ship(docs.sparkSession)
+    if path is None or ("://" not in path and not os.path.exists(path)):
+        raise ValueError(f"token counts need a vocabulary file, and {path or 'none'} was found")
+    docs.sparkSession.sparkContext.addFile(path)
+    name = os.path.basename(path)
     own = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), edits.cast(EDITS_TYPE).alias("edits"))
     kind = own.schema["doc_id"].dataType.simpleString()
     names = ["n_chars", "n_pretokens", "n_tokens", "n_edits", "n_reencoded", "n_chars_after", "n_tokens_after"]
 
     def run(batches):
         import pyarrow as pa
+        from pyspark import SparkFiles
 
-        tokenizer = tokenizer_at(path)
+        tokenizer = tokenizer_at(SparkFiles.get(name))
         for batch in batches:
             out = []
             for text, changes in zip(batch.column(1), batch.column(2)):

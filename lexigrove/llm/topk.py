@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from lexigrove.cluster import ship
 from lexigrove.llm.common import materialize
 
-#: Different vectors in a block of candidates, queries in a block of queries.
-BLOCK, QUERY_BLOCK = 8192, 512
+#: Different vectors in a block of candidates; queries that meet it in one task, and that are bounded together. A block
+#: of candidates is sent once for each QUERY_BLOCK queries.
+BLOCK, QUERY_BLOCK, TOGETHER = 8192, 32768, 512
 #: Shares of the lists that have been read after each stretch.
 STRETCHES = (0.1, 0.2, 0.35, 0.5, 0.75, 1.0)
 
@@ -138,7 +139,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, block: int = BLOCK) -
             smallest = candidates["ids"].map(lambda a: a[0]).to_numpy(np.int64)
             q = np.array([np.asarray(v, dtype=np.int64) for v in questions["v"]], dtype=np.int64).reshape(len(questions), dims)
             lists = candidates["ids"].to_numpy()
-            for asker, (at, score) in zip(questions["vec_id"].to_numpy(), nra_block(smallest, x, q, k + 1)):
+            answers = (answer for first in range(0, len(q), TOGETHER) for answer in nra_block(smallest, x, q[first : first + TOGETHER], k + 1))
+            for asker, (at, score) in zip(questions["vec_id"].to_numpy(), answers):
                 rows = [(int(s), int(i)) for a, s in zip(at, score) for i in lists[a] if i != asker]
                 rows.sort(key=lambda r: (-r[0], r[1]))
                 out += [(int(asker), i, s) for s, i in rows[:k]]

@@ -162,6 +162,8 @@ def test_top_k(spark):
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert sorted(map(tuple, topk.top_k(topk.scaled(df), block=40).collect())) == sorted(want)
     assert topk.top_k(topk.scaled(df.filter("vec_id < 0"))).count() == 0
+    every = topk.top_k(topk.scaled(df.filter("vec_id < 400")), every=1)  # more queries than are bounded together, in several rounds
+    assert every.filter("vec_id is not null").count() == 5 * 300
 
 
 def test_nra_stops_early_and_is_exact():
@@ -653,3 +655,19 @@ def test_edited_counts(spark, odd, none):
     got = token_counts.edited_counts(odd, edits, PATH).toPandas()
     assert len(got) == 8 and got[got["doc_id"] == 2]["n_tokens"].tolist() == [0] and got[got["doc_id"] == 1]["n_chars_after"].tolist() == [4, 4]
     assert token_counts.edited_counts(none, edits, PATH).count() == 0
+    stated = token_counts.stated_edits(F.col("doc_id"), F.col("text"))
+    rows = [(1, "It's 5 o'clock, isn't it?  Yes.\n\nNo"), (2, ""), (3, None), (4, "é" * 40 + " end"), (5, LONG[:3000])]
+    d = docs_of(spark, [(i, t, "en", "s") for i, t in rows])
+    asked = {r["doc_id"]: r["e"] for r in d.select("doc_id", stated.alias("e")).collect()}
+    for r in token_counts.edited_counts(d, stated, PATH).collect():
+        t = dict(rows)[r["doc_id"]] or ""
+        assert (r["n_chars"], r["n_tokens"], r["n_pretokens"], r["n_edits"]) == (len(t), len(tokenizer._encode(t)), len(tokenizer.split(t)), 3)
+        for e in asked[r["doc_id"]]:
+            t = t[: e["start"]] + e["replacement"] + t[e["start"] + e["length"] :]
+        assert (r["n_chars_after"], r["n_tokens_after"]) == (len(t), len(tokenizer._encode(t)))
+
+
+def test_token_counts_need_a_vocabulary(spark, odd):
+    for path in (None, "/nowhere/vocabulary"):
+        with pytest.raises(ValueError, match="vocabulary"):
+            token_counts.edited_counts(odd, F.lit(None), path)
