@@ -75,15 +75,20 @@ def tfidf_query_vectors(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return rows.join(vocabulary.select("term", "idf"), "term").select("qid", "term", (F.col("c") / F.col("n") * F.col("idf")).alias("q"))
 
 
-def tfidf_similarities(corpus: Corpus, queries: DataFrame, n_queries: int) -> DataFrame:
-    """(qid, doc_id, sim, rank) of all records with a cosine above 0.01, best first."""
+def tfidf_similarities(corpus: Corpus, queries: DataFrame, n_queries: int, most: int) -> DataFrame:
+    """(qid, doc_id, sim, rank) of the ``most`` records of the highest cosine above 0.01, best first; the cap is a group limit before the shuffle."""
     vectors = tfidf_query_vectors(queries, corpus.vocabulary)
     norms = vectors.groupBy("qid").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("q_norm"))
     dots = corpus.weights.join(bounded(vectors, n_queries * 100), "term").groupBy("qid", "doc_id").agg(F.sum(F.col("q") * F.col("w")).alias("dot"))
     sims = dots.join(bounded(norms, n_queries), "qid").join(corpus.norms, "doc_id").filter("q_norm > 0 and norm > 0")
     sims = sims.select("qid", "doc_id", (F.col("dot") / (F.col("q_norm") * F.col("norm"))).alias("sim")).filter(F.col("sim") > TFIDF_LEAST)
-    w = Window.partitionBy("qid").orderBy(F.round("sim", 6).desc(), "doc_id")
-    return sims.withColumn("rank", F.row_number().over(w))
+    return top(sims, "sim", most)
+
+
+def nlp_search(corpus: Corpus, queries: DataFrame, n_queries: int, limit: int) -> DataFrame:
+    """R34 over an index: (qid, rank, doc_id, score): the records of the highest TF-IDF cosine, at 100 times it."""
+    best = tfidf_similarities(corpus, queries, n_queries, 2 * limit).filter(F.col("rank") <= limit)
+    return best.select("qid", "rank", "doc_id", (F.col("sim") * 100.0).alias("score"))
 
 
 def tfidf_scores(corpus: Corpus, sims: DataFrame, options: Options) -> DataFrame:

@@ -58,7 +58,8 @@ class Search:
         return self._families
 
     def similarities(self) -> DataFrame:
-        return channels.tfidf_similarities(self.corpus, self.queries, self.n_queries)
+        o = self.options  # as many as the channel takes, or the reranking looks at
+        return channels.tfidf_similarities(self.corpus, self.queries, self.n_queries, max(6 * o.limit, 15))
 
     def candidates(self, sims: DataFrame | None = None) -> DataFrame:
         """R20"""

@@ -61,6 +61,34 @@ def embed_records(docs: DataFrame, words: DataFrame, dimension: int) -> DataFram
     return docs.select("doc_id").join(mean, "doc_id", "left").select("doc_id", F.coalesce(V.normalized(F.col("vec")), zero).alias("vec"))
 
 
+def attached(docs: DataFrame, digest: str, words_path: str, records_path: str | None = None, dimension: int = 100) -> tuple[DataFrame | None, DataFrame | None, list[str]]:
+    """(word vectors, record vectors, what was wrong). What is missing, unreadable or of other records is None, and a search goes on without it."""
+    from lexigrove.sources import embeddings
+
+    spark, said = docs.sparkSession, []
+    try:
+        words = embeddings.read_word_vectors(spark, words_path, dimension)
+        words.limit(1).count()
+    except Exception as e:  # the vectors are optional, whatever keeps them from being read
+        return None, None, [f"word vectors: {type(e).__name__}"]
+    if records_path is None:
+        return words, None, said
+    try:
+        found, head = embeddings.read_record_vectors(spark, records_path)
+        records = embeddings.aligned(found, head, docs, digest)
+    except Exception as e:
+        return words, None, [f"record vectors: {type(e).__name__}"]
+    if records is None:
+        said.append("record vectors: they belong to other records")
+    return words, records, said
+
+
+def query_similarities(queries: DataFrame, words: DataFrame, records: DataFrame, k: int, direction: list[float] | None = None) -> DataFrame:
+    """(qid, doc_id, sim) for ``search(vectors=...)``: the k records nearest to each query's vector."""
+    asked = embed_queries(queries, words, direction)
+    return cosine_top(asked, records, k).select("qid", "doc_id", "sim")
+
+
 def dominant_direction(vectors: DataFrame, rounds: int = ROUNDS) -> list[float] | None:
     """24 power iterations on the Gram matrix, from the even vector; None for fewer than 16 vectors.
 

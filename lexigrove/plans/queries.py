@@ -314,7 +314,12 @@ def char_ngram_topk(spark, d):
 @_register("tfidf_cosine_topk", S.query([S.DOCS, S.TFIDF, S.queries(QUERY_SET), S.SIMILARITIES], "SELECT qid, rank::INTEGER AS rank, doc_id, round(sim, 6) AS sim FROM sims WHERE rank <= 20"))
 def tfidf_cosine_topk(spark, d):
     c = _corpus(spark, d)
-    return channels.tfidf_similarities(c, _queries(spark), len(QUERY_SET)).filter("rank <= 20").select("qid", "rank", "doc_id", R("sim"))
+    return channels.tfidf_similarities(c, _queries(spark), len(QUERY_SET), 20).select("qid", "rank", "doc_id", R("sim"))
+
+
+@_register("nlp_search", S.query([S.DOCS, S.TFIDF, S.queries(QUERY_SET), S.SIMILARITIES], f"SELECT qid, rank::INTEGER AS rank, doc_id, round(sim * 100.0, 4) AS score FROM sims WHERE rank <= {LIMIT}"))
+def nlp_search(spark, d):
+    return channels.nlp_search(_corpus(spark, d), _queries(spark), len(QUERY_SET), LIMIT).select("qid", "rank", "doc_id", R("score", 4))
 
 
 @_register("tfidf_vocab_stats", S.query([S.DOCS, S.TFIDF], "SELECT (SELECT count(*) FROM vocabulary) AS vocabulary_size, (SELECT count(*) FROM docs) AS total_documents, round((SELECT count(*) FROM weights) / (SELECT count(*) FROM docs)::DOUBLE, 6) AS avg_terms"))
@@ -485,15 +490,8 @@ _DOT = lambda a, b: f"list_inner_product({a}::DOUBLE[], {b}::DOUBLE[])"  # noqa:
 _COS = lambda a, b: f"CASE WHEN len({a}) = len({b}) AND {_DOT(a, a)} > 0 AND {_DOT(b, b)} > 0 THEN {_DOT(a, b)} / (sqrt({_DOT(a, a)}) * sqrt({_DOT(b, b)})) ELSE 0.0 END"
 
 
-@_register("vector_cosine_topk", S.query([f"s AS (SELECT q.vec_id AS qid, v.vec_id AS doc_id, {_COS('q.embedding', 'v.embedding')} AS sim FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0)"], "SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(sim, 6) DESC, doc_id)::INTEGER AS rank, doc_id, round(sim, 6) AS sim FROM s QUALIFY rank <= 10"))
+@_register("vector_cosine_topk", S.query([f"s AS (SELECT q.vec_id AS qid, v.vec_id AS doc_id, {_COS('q.embedding', 'v.embedding')} AS sim FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0)"], "SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(sim, 6) DESC, doc_id)::INTEGER AS rank, doc_id, round(sim, 6) AS sim FROM s QUALIFY rank <= 10"))
 def vector_cosine_topk(spark, d):
-    e = _t(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
-    q = e.filter(F.col("doc_id") % 100 == 0).withColumnRenamed("doc_id", "qid")
-    return vectors.cosine_top(q, e, 10).select("qid", "rank", "doc_id", R("sim"))
-
-
-@_register("vector_cosine_by_20", S.query([f"s AS (SELECT q.vec_id AS qid, v.vec_id AS doc_id, {_COS('q.embedding', 'v.embedding')} AS sim FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0)"], "SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(sim, 6) DESC, doc_id)::INTEGER AS rank, doc_id, round(sim, 6) AS sim FROM s QUALIFY rank <= 10"))
-def vector_cosine_by_20(spark, d):
     """The search set in full: every vector whose id is divisible by 20, against all vectors."""
     e = spread(_t(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec")))
     q = e.filter(F.col("doc_id") % 20 == 0).withColumnRenamed("doc_id", "qid")
@@ -661,20 +659,12 @@ def query_latency(spark, d):
 # --- ingestion, sanitising, projects ------------------------------------------------------------------
 
 
-@_register("upsert_union", "WITH a AS (SELECT c_custkey AS doc_id, c_name AS command, c_mktsegment AS description FROM customer WHERE c_custkey < 500), b AS (SELECT c_custkey - 400 AS doc_id, c_name AS command, 'new' AS description FROM customer WHERE c_custkey BETWEEN 400 AND 599) SELECT doc_id, command, description FROM a WHERE command NOT IN (SELECT command FROM b) UNION ALL SELECT coalesce(a.doc_id, (SELECT max(doc_id) FROM a) + 1 + b.doc_id), b.command, b.description FROM b LEFT JOIN a USING (command)")
-def upsert_union(spark, d):
-    c = _t(spark, d, "customer")
-    old = c.filter("c_custkey < 500").select(F.col("c_custkey").alias("doc_id"), F.col("c_name").alias("command"), F.col("c_mktsegment").alias("description"))
-    new = c.filter("c_custkey between 400 and 599").select((F.col("c_custkey") - 400).alias("doc_id"), F.col("c_name").alias("command"), F.lit("new").alias("description"))
-    return records.upsert(old, new).select("doc_id", "command", "description")
-
-
-@_register("upsert_whole", """WITH a AS (SELECT c_custkey AS doc_id, c_name AS command, c_mktsegment AS description FROM customer UNION ALL SELECT -s_suppkey, s_name, 'old' FROM supplier),
+@_register("upsert_union", """WITH a AS (SELECT c_custkey AS doc_id, c_name AS command, c_mktsegment AS description FROM customer UNION ALL SELECT -s_suppkey, s_name, 'old' FROM supplier),
   b AS (SELECT c_custkey AS doc_id, c_name AS command, 'new ' || c_mktsegment AS description FROM customer UNION ALL SELECT p_partkey, p_name, 'new' FROM part),
   ids AS (SELECT command, min(doc_id) AS old_id FROM a GROUP BY command)
   SELECT doc_id, command, description FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.command = a.command)
   UNION ALL SELECT coalesce(ids.old_id, (SELECT max(doc_id) FROM a) + 1 + b.doc_id), b.command, b.description FROM b LEFT JOIN ids USING (command)""")
-def upsert_whole(spark, d):
+def upsert_union(spark, d):
     """Whole tables: all customers are replaced, all suppliers stay, all parts are added."""
     c, s, p = (_t(spark, d, t) for t in ("customer", "supplier", "part"))
     row = lambda df, key, name, said: df.select(key.alias("doc_id"), F.col(name).alias("command"), said.alias("description"))

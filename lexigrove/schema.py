@@ -25,6 +25,7 @@ HISTORY = T.StructType([
     T.StructField("duration", T.LongType()),
 ])
 HISTORY_FILE = T.StructType([T.StructField("entries", T.ArrayType(HISTORY)), T.StructField("max_size", T.LongType())])
+HISTORY_LINE = T.StructType([*HISTORY_FILE, T.StructField("user_id", T.StringType())])
 
 METRIC = T.StructType([
     T.StructField("name", T.StringType()),

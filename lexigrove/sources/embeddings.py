@@ -6,7 +6,7 @@ import struct
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexigrove.cluster import ship
@@ -83,10 +83,28 @@ def aligned(vectors: DataFrame, head: dict, docs: DataFrame, digest: str) -> Dat
     return vectors
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, value): the lines of text files, counted from 0 by file and place, whatever the splits.
+
+    Only one row for each split reaches the driver: how many lines it has.
+    """
+    read = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
+    splits = read.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("id").alias("first")).collect()
+    rows, before = [], 0
+    for r in sorted(splits, key=lambda r: (r["file"], r["start"])):
+        rows.append((r["file"], r["start"], before - r["first"]))
+        before += r["n"]
+    shifts = F.broadcast(spark.createDataFrame(rows, "file string, start long, shift long"))  # a row a split
+    return read.join(shifts, ["file", "start"]).select((F.col("id") + F.col("shift")).alias("line"), "value")
+
+
 def read_glove(spark: SparkSession, path: str, top: int = 100_000, dimension: int = 100) -> DataFrame:
-    """(word, rank, vec) of a text file with a word and its numbers a line; the first ``top`` lines of the right width."""
-    lines = spark.read.text(path).select(F.split("value", " ").alias("p"), F.monotonically_increasing_id().alias("line"))
-    first = lines.orderBy("line").limit(top)
-    n = F.size("p")
-    good = first.filter(n == dimension + 1)
-    return good.select(F.col("p")[0].alias("word"), F.col("line").alias("rank"), F.transform(F.slice("p", 2, dimension), lambda x: x.cast("double")).alias("vec"))
+    """(word, rank, vec) of a text file with a word and its numbers a line: those of the first ``top`` lines that have the right width.
+
+    The rank counts the different words in order; of a word's copies the first gives the place and the last the vector.
+    """
+    first = numbered_lines(spark, path).filter(F.col("line") < top)
+    rows = first.select("line", F.split(F.trim("value"), r"\s+").alias("p")).filter(F.size("p") == dimension + 1)
+    words = rows.groupBy(F.col("p")[0].alias("word")).agg(F.min("line").alias("place"), F.max_by(F.slice("p", 2, dimension), "line").alias("x"))
+    rank = F.row_number().over(Window.orderBy("place")) - 1  # at most ``top`` rows
+    return words.select("word", rank.alias("rank"), F.transform("x", lambda v: v.cast("double")).alias("vec"))

@@ -154,7 +154,7 @@ def test_upsert_takes_whole_tables(spark, tmp_path):
     """Rows of every id pass through the registered query, beyond 600 too."""
     for name, prefix, key, text in (("customer", "c", "c_custkey", "c_mktsegment"), ("supplier", "s", "s_suppkey", "s_x"), ("part", "p", "p_partkey", "p_x")):
         spark.range(1, 801).selectExpr(f"id as {key}", f"'{prefix}' || id as {prefix}_name", f"'m' as {text}").write.parquet(f"{tmp_path}/{name}.parquet")
-    got = {r["command"]: (r["doc_id"], r["description"]) for r in plans.QUERIES["upsert_whole"](spark, str(tmp_path)).collect()}
+    got = {r["command"]: (r["doc_id"], r["description"]) for r in plans.QUERIES["upsert_union"](spark, str(tmp_path)).collect()}
     assert len(got) == 2400
     assert got["c700"] == (700, "new m") and got["s700"] == (-700, "old") and got["p700"] == (800 + 1 + 700, "new")
 
@@ -204,7 +204,7 @@ def test_cosine_search_in_blocks(spark):
 
 def test_search_set_is_every_twentieth_vector(spark, tmp_path):
     spark.range(100).selectExpr("id as vec_id", "array(float(id), 1f) as embedding", "1 as label").write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = plans.QUERIES["vector_cosine_by_20"](spark, str(tmp_path)).groupBy("qid").count().collect()
+    got = plans.QUERIES["vector_cosine_topk"](spark, str(tmp_path)).groupBy("qid").count().collect()
     assert {(r["qid"], r["count"]) for r in got} == {(i, 10) for i in range(0, 100, 20)}
 
 
@@ -215,3 +215,60 @@ def test_index_over_documents(spark, tmp_path):
     got = {(r["term"], r["doc_id"]): r["tf_desc"] for r in plans.QUERIES["document_index_postings"](spark, str(tmp_path)).collect()}
     assert got["alpha", 1] == 2 and got["gamma", 3] == 50_000 and got["omega", 3] == 1
     assert plans.QUERIES["document_field_lengths"](spark, str(tmp_path)).count() == 3
+
+
+@pytest.mark.parametrize("lines", [False, True])
+def test_histories_of_several_users_come_back(spark, tmp_path, lines):
+    from lexigrove.sources.history import read_history, write_history
+
+    rows = [(u, s, f"query {u}", 3, "here", 5) for u in (1, 2, 3, 44) for s in range(3)]
+    log = spark.createDataFrame(rows, "user_id long, seq int, query string, results_count long, context string, duration_ms long").withColumn("ts", F.timestamp_seconds(F.col("seq")))
+    path = str(tmp_path / "histories")
+    write_history(log.repartition(2), path, 2, lines)
+    got = read_history(spark, path, lines)
+    assert sorted((r["user_id"], r["seq"], r["query"], r["results_count"], r["duration_ms"]) for r in got.collect()) == sorted((str(u), s, q, n, t) for u, s, q, n, _, t in rows if s > 0)
+    assert read_history(spark, str(tmp_path / "nothing"), lines).count() == 0
+
+
+def test_word_vectors_are_ranked_by_line(spark, tmp_path):
+    """A file of several splits: ranks count the lines, whatever the splits; copies and lines of another width as stated."""
+    lines = [f"w{i} {i}.0 {i}.5" for i in range(50_000)]
+    lines[10], lines[20] = "broken 1.0", "w5 7.0 7.5"
+    (tmp_path / "v.txt").write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        got = {r["word"]: (r["rank"], r["vec"]) for r in embeddings.read_glove(spark, str(tmp_path / "v.txt"), 40_000, 2).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(got) == 39_998 and "broken" not in got and got["w5"] == (5, [7.0, 7.5])
+    assert got["w9"][0] == 9 and got["w11"][0] == 10 and got["w39999"] == (39_997, [39_999.0, 39_999.5])
+
+
+def test_judged_sets(spark, tmp_path):
+    from lexigrove.errors import CorpusNotFound
+    from lexigrove.sources.judgements import read_judgements
+
+    (tmp_path / "a.yaml").write_text("queries:\n  - {query: list files, slice: short, set: dev, relevant: [ls, dir]}\n  - {query: copy, set: test}\n")
+    (tmp_path / "b.yaml").write_text("queries:\n  - {query: move, relevant: [mv], set: dev}\n")
+    (tmp_path / "c.yaml").write_text("")
+    every = {r["qid"]: (r["text"], r["slice"], r["set"], r["relevant"]) for r in read_judgements(spark, str(tmp_path)).collect()}
+    assert every == {0: ("list files", "short", "dev", ["ls", "dir"]), 1: ("copy", "", "test", []), 2: ("move", "", "dev", ["mv"])}
+    assert [r["qid"] for r in read_judgements(spark, str(tmp_path), "dev").orderBy("qid").collect()] == [0, 2]
+    with pytest.raises(CorpusNotFound):
+        read_judgements(spark, str(tmp_path / "none.yaml"))
+
+
+def test_vectors_are_optional(spark, tmp_path):
+    docs = spark.createDataFrame([(0, "list"), (1, "copy")], "doc_id long, command string")
+    words, records_file = tmp_path / "w.bin", tmp_path / "r.bin"
+    words.write_bytes(embeddings.pack_word_vectors([("list", [1.0, 0.0]), ("copy", [0.0, 1.0])]))
+    records_file.write_bytes(embeddings.pack_record_vectors([[1.0, 0.0], [0.0, 1.0]], "abc"))
+    w, r, said = vectors.attached(docs, "abc", str(words), str(records_file), 2)
+    assert said == [] and w.count() == 2
+    asked = spark.createDataFrame([(1, "list")], "qid long, text string")
+    best = vectors.query_similarities(asked, w, r, 1).collect()
+    assert [(x["doc_id"], round(x["sim"], 6)) for x in best] == [(0, 1.0)]
+    assert vectors.attached(docs, "other", str(words), str(records_file), 2)[1:] == (None, ["record vectors: they belong to other records"])
+    records_file.write_bytes(b"WTFE")
+    assert vectors.attached(docs, "abc", str(words), str(records_file), 2)[1] is None
+    assert vectors.attached(docs, "abc", str(tmp_path / "none.bin"), None, 2)[0] is None
