@@ -24,6 +24,16 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= QUERY_ROWS else df
 
 
+def blocks(queries: DataFrame) -> list[DataFrame]:
+    """A stated query set in blocks that may be broadcast, dealt by a hash of qid and text; one block up to the bound."""
+    n = queries.count()
+    if n <= QUERY_ROWS:
+        return [queries]
+    parts = -(-2 * n // QUERY_ROWS)  # half full in the mean, so that none exceeds the bound
+    dealt = F.pmod(F.xxhash64("qid", "text"), F.lit(parts))
+    return [queries.filter(dealt == i) for i in range(parts)]
+
+
 def top(df: DataFrame, by: str, k: int | Column, name: str = "rank") -> DataFrame:
     """The k best rows of each query by the rounded score, ties to the smaller doc_id."""
     w = Window.partitionBy("qid").orderBy(F.round(by, 6).desc(), "doc_id")

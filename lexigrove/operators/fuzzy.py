@@ -6,13 +6,15 @@ match at the start of a word earns, every gap and every unmatched character cost
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrove import lexicon
 from lexigrove.cluster import ship
-from lexigrove.operators.channels import QUERY_ROWS
+from lexigrove.operators.channels import blocks
 
 FIRST, AFTER_BREAK, ADJACENT, LEADING_GAP, UNMATCHED = 10, 10, 15, -5, -1
 _BREAKS = " -_/.\\"
@@ -45,13 +47,11 @@ def _scores(pattern: pd.Series, text: pd.Series) -> pd.Series:
 
 
 def _matched(texts: DataFrame, queries: DataFrame, column: str) -> DataFrame:
-    """Every query against every text: ``queries`` is a stated set, sent to each block of texts. Texts without the first letters' characters never reach Python."""
+    """Every query against every text: ``queries`` is a stated set, sent to each block of texts, a block of queries at a time. Texts without the first letters' characters never reach Python."""
     ship(queries.sparkSession)
-    n = queries.count()
-    if n > QUERY_ROWS:
-        raise ValueError(f"fuzzy matching takes at most {QUERY_ROWS} queries at a time")
     asked = queries.select("qid", "text", F.split(F.lower("text"), "").alias("letters"))
-    pairs = texts.join(F.broadcast(asked), F.forall("letters", lambda c: F.contains(F.lower(texts[column]), c)))
+    has_letters = F.forall("letters", lambda c: F.contains(F.lower(texts[column]), c))
+    pairs = reduce(DataFrame.unionByName, [texts.join(F.broadcast(block), has_letters) for block in blocks(asked)])
     return pairs.withColumn("fuzzy", F.pandas_udf(_scores, "int")("text", column)).filter(F.col("fuzzy").isNotNull())
 
 

@@ -5,12 +5,14 @@ of it is one projection over the scan, with the stated query set joined by broad
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrove import lexicon
 from lexigrove.functions import text as X
-from lexigrove.operators.channels import QUERY_ROWS
+from lexigrove.operators.channels import blocks
 from lexigrove.operators.fuzzy import fuzzy_search
 from lexigrove.operators.platforms import CROSS, is_cross_platform_tool, is_pipeline
 from lexigrove.options import Options
@@ -89,10 +91,10 @@ def legacy_score(words: Column, boosts: dict[str, float] | None = None) -> Colum
 
 
 def _asked(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    if queries.count() > QUERY_ROWS:
-        raise ValueError(f"at most {QUERY_ROWS} queries at a time")
-    words = queries.select("qid", F.lower("text").alias("asked"), query_words(F.col("text")).alias("words"))
-    return docs.join(F.broadcast(words), F.size("words") >= 0)  # the stated query set meets every block of records
+    """Every record with every query of a stated set, one block of queries at a time."""
+    words = queries.select("qid", "text", F.lower("text").alias("asked"), query_words(F.col("text")).alias("words"))
+    met = [docs.join(F.broadcast(block.drop("text")), F.size("words") >= 0) for block in blocks(words)]
+    return reduce(DataFrame.unionByName, met)
 
 
 def _best(rows: DataFrame, limit: int) -> DataFrame:

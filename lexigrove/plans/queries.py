@@ -203,6 +203,17 @@ def doc_term_df(spark, d):
     return df.select("term", "df", F.round(C.idf(F.lit(n), F.col("df")), 6).alias("idf"))
 
 
+@_register("corpus_size", "SELECT count(*) AS n FROM part")
+def corpus_size(spark, d):
+    return _corpus(spark, d).docs.agg(F.count("*").alias("n"))
+
+
+@_register("lowered_records", S.query([S.DOCS], "SELECT doc_id, lower(command) AS command_lower, lower(description) AS description_lower, lower(array_to_string(keywords, ' ')) AS keywords, lower(array_to_string(tags, ' ')) AS tags FROM docs"))
+def lowered_records(spark, d):
+    r = schema.lowered(part_records(spark, d))
+    return r.select("doc_id", "command_lower", "description_lower", F.array_join("keywords_lower", " ").alias("keywords"), F.array_join("tags_lower", " ").alias("tags"))
+
+
 @_register("snapshot_hash", S.query([S.DOCS], "SELECT sha256(string_agg(lower(trim(command)) || chr(31) || lower(trim(description)) || chr(31) || array_to_string(list_transform(keywords, lambda k: lower(trim(k))), chr(30)) || chr(29), '' ORDER BY doc_id)) AS hash FROM docs"))
 def snapshot_hash(spark, d):
     return C.snapshot_hash(part_records(spark, d))
@@ -513,16 +524,62 @@ def centroid_by_label(spark, d):
 def dominant_component_removed(spark, d):
     e = _t(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), V.normalized(F.col("embedding")).alias("vec"))
     out = vectors.without_dominant(e, vectors.dominant_direction(e))
-    return out.select("doc_id", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
+    return out.select("doc_id", F.posexplode("vec").alias("i", "x")).select("doc_id", "i", R("x"))
+
+
+def _word_vectors(spark, d) -> DataFrame:
+    """The words of part names in the order of the alphabet; the vector of the n-th is the n-th embedding."""
+    words = _t(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("word")).distinct()
+    ranked = words.withColumn("rank", F.row_number().over(Window.orderBy("word")).cast("long") - 1)  # a vocabulary
+    return ranked.join(_t(spark, d, "embeddings").select(F.col("vec_id").alias("rank"), F.col("embedding").alias("vec")), "rank")
+
+
+_EMBEDDED = [
+    S.queries(QUERY_SET),
+    "words AS MATERIALIZED (SELECT word, rank, embedding::DOUBLE[] AS vec FROM (SELECT word, row_number() OVER (ORDER BY word) - 1 AS rank FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part)) JOIN embeddings ON vec_id = rank)",
+    r"said_words AS (SELECT qid, place, t[place] AS w FROM (SELECT qid, t, unnest(range(1, len(t) + 1)) AS place FROM (SELECT qid, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: strlen(x) >= 2) AS t FROM queries)))",
+    """forms AS (SELECT qid, place, unnest([1, 2, 3, 4, 5]) AS nth, unnest([w, CASE WHEN ends_with(w, 'ing') AND length(w) > 5 THEN left(w, length(w) - 3) END, CASE WHEN ends_with(w, 'ed') AND length(w) > 4 THEN left(w, length(w) - 2) END,
+   CASE WHEN ends_with(w, 'es') AND length(w) > 4 THEN left(w, length(w) - 2) END, CASE WHEN ends_with(w, 's') AND length(w) > 3 THEN left(w, length(w) - 1) END]) AS word FROM said_words)""",
+    "known_words AS (SELECT qid, vec, 0.001::DOUBLE / (0.001::DOUBLE + (rank + 1) / (SELECT count(*) FROM words)::DOUBLE) * CASE WHEN regexp_matches(word, '[0-9]') THEN 1.2 ELSE 1.0 END::DOUBLE * CASE WHEN strlen(word) <= 2 THEN 0.85 ELSE 1.0 END::DOUBLE AS w FROM forms JOIN words USING (word) QUALIFY row_number() OVER (PARTITION BY qid, place ORDER BY nth) = 1)",
+    "mean_parts AS (SELECT qid, i, sum(w * x) / sum(w) AS x FROM (SELECT qid, w, unnest(range(0, len(vec))) AS i, unnest(vec) AS x FROM known_words) GROUP BY ALL)",
+    "query_units AS MATERIALIZED (SELECT qid, i, x / sqrt(sum(x * x) OVER (PARTITION BY qid)) AS x FROM mean_parts)",
+]
+
+
+@_register("query_vectors", S.query(_EMBEDDED, "SELECT qid, i::INTEGER AS i, round(x, 6) AS x FROM query_units"))
+def query_vectors(spark, d):
+    """J5, R23, R24"""
+    return vectors.embed_queries(_queries(spark), _word_vectors(spark, d)).select("qid", F.posexplode("vec").alias("i", "x")).select("qid", "i", R("x"))
+
+
+@_register("vector_channel", S.query([S.DOCS, S.ELIGIBLE, *_EMBEDDED, "asked_units AS (SELECT qid, list(x ORDER BY i) AS u FROM query_units GROUP BY qid)", f"near_records AS (SELECT qid, vec_id AS doc_id, {_COS('u', 'embedding')} AS sim FROM asked_units, embeddings)"],
+    "SELECT qid, doc_id, round(sim * 45.0, 4) AS score FROM near_records JOIN eligible USING (doc_id) WHERE sim >= 0.1 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(sim, 6) DESC, doc_id) <= 15"))
+def vector_channel(spark, d):
+    """A record's vector is the embedding of its id; all similarities of the stated queries go through the channel."""
+    corpus, e = _corpus(spark, d), _t(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
+    sims = vectors.query_similarities(_queries(spark), _word_vectors(spark, d), e, e.count())
+    return channels.vector_scores(corpus, sims, Options(limit=LIMIT)).select("qid", "doc_id", R("score", 4))
 
 
 # --- evaluation -------------------------------------------------------------------------------------
 
 
+def _quotes(docs: DataFrame, items: DataFrame, most: int = 10) -> DataFrame:
+    """(qid, doc_id): documents (doc_id, text) that hold ``most`` words of an item (qid, text) in a row; an item of fewer words, but not none, counts whole. Whole texts, any case, any place."""
+    words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    runs = lambda w, k: F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.array_join(F.slice(w, i, k), " ")))
+    sized = items.select("qid", words(F.col("text")).alias("w")).withColumn("k", F.least(F.size("w"), F.lit(most))).filter("k > 0")
+    lengths = sorted(r["k"] for r in sized.select("k").distinct().collect())  # ``most`` at most
+    own = sized.select("qid", F.explode(runs(F.col("w"), F.col("k"))).alias("run")).distinct()
+    wordy = docs.select("doc_id", words(F.col("text")).alias("w"))
+    held = wordy.select("doc_id", F.explode(F.concat(*[F.coalesce(runs(F.col("w"), F.lit(k)), F.array().cast("array<string>")) for k in lengths or [most]])).alias("run"))
+    return held.join(channels.bounded(own, own.count()), "run").select("qid", "doc_id").distinct()
+
+
 def _judged(spark, d, k: int = 5) -> DataFrame:
-    """benchmark items as queries over documents; relevant: documents that hold the item's first 60 characters; slice: the item's id modulo 4."""
+    """benchmark items as queries over documents; relevant: documents that quote ten words of the item in a row; slice: the item's id modulo 4. Items that no document quotes stay, with none relevant."""
     docs = _docs(spark, d).select("doc_id", "text")
-    items = _t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text", F.concat(F.lit("s"), (F.col("item_id") % 4).cast("string")).alias("slice"), F.substring("text", 1, 60).alias("head"))
+    items = _t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text", F.concat(F.lit("s"), (F.col("item_id") % 4).cast("string")).alias("slice"))
     toks = docs.select("doc_id", X.terms(F.coalesce("text", F.lit(""))).alias("t")).persist()
     n, mean = toks.agg(F.count("*"), F.avg(F.size("t"))).first()
     q = items.select("qid", F.explode(X.terms(F.col("text"))).alias("term"))
@@ -531,22 +588,30 @@ def _judged(spark, d, k: int = 5) -> DataFrame:
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     gain = C.idf(F.lit(n), F.col("df")) * channels.field_bm25(F.col("tf"), F.col("dl"), mean, 1.0, 0.75, 1.2)
     scores = tf.join(q.join(df, "term"), "term").groupBy("qid", "doc_id").agg(F.sum(gain).alias("score"))
-    best = channels.top(scores, "score", k).select("qid", "rank", "doc_id").join(docs, "doc_id")
-    holds = best.join(F.broadcast(items.select("qid", "head")), "qid").select("qid", "rank", F.contains("text", "head").alias("hit"))
-    known = items.select("qid", "slice", "head").join(docs, F.contains(F.col("text"), F.col("head"))).groupBy("qid").agg(F.count("*").cast("int").alias("n_relevant"))
-    return items.select("qid", "slice").join(known, "qid").join(holds, "qid", "left")
+    best = channels.top(scores, "score", k).select("qid", "rank", "doc_id")
+    quotes = _quotes(docs, items.select("qid", "text")).persist()
+    holds = best.join(quotes.withColumn("hit", F.lit(True)), ["qid", "doc_id"], "left").select("qid", "rank", F.coalesce("hit", F.lit(False)).alias("hit"))
+    known = quotes.groupBy("qid").agg(F.count("*").cast("int").alias("n_relevant"))
+    return items.select("qid", "slice").join(known, "qid", "left").fillna(0, ["n_relevant"]).join(holds, "qid", "left")
 
 
+_WORDS = lambda c: rf"list_filter(regexp_split_to_array(lower({c}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+
 _JUDGED = [
     f"toks AS MATERIALIZED (SELECT doc_id, {S.terms('text')} AS t FROM documents)", "lens AS (SELECT doc_id, len(t) AS dl FROM toks)",
     "tf AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM toks) GROUP BY ALL)", "df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)",
     f"q AS (SELECT item_id AS qid, unnest({S.terms('text')}) AS term FROM benchmark)", "tot AS (SELECT count(*) AS n, avg(dl) AS av FROM lens)",
     f"s AS (SELECT qid, doc_id, sum({S.IDF} * (tf * 2.2::DOUBLE) / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * dl / av))) AS score FROM q JOIN tf USING (term) JOIN df USING (term) JOIN lens USING (doc_id), tot GROUP BY ALL)",
     "best AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, doc_id) AS rank, doc_id FROM s QUALIFY rank <= 5)",
-    "known AS (SELECT item_id AS qid, 's' || (item_id % 4) AS slice, count(*) AS n_relevant FROM benchmark b JOIN documents d ON contains(d.text, left(b.text, 60)) GROUP BY ALL)",
-    "judged AS (SELECT k.*, b.rank, contains(d.text, left(i.text, 60)) AS hit FROM known k LEFT JOIN best b USING (qid) LEFT JOIN documents d USING (doc_id) JOIN benchmark i ON i.item_id = k.qid)",
+    f"item_words AS (SELECT item_id AS qid, w, least(len(w), 10) AS k FROM (SELECT item_id, {_WORDS('text')} AS w FROM benchmark) WHERE len(w) > 0)",
+    "item_runs AS (SELECT DISTINCT qid, array_to_string(w[i:i + k - 1], ' ') AS run FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM item_words))",
+    f"doc_words AS (SELECT doc_id, {_WORDS('text')} AS w FROM documents)",
+    "doc_runs AS (SELECT doc_id, array_to_string(w[i:i + k - 1], ' ') AS run FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM doc_words, (SELECT DISTINCT k FROM item_words) WHERE len(w) >= k))",
+    "quotes AS MATERIALIZED (SELECT DISTINCT qid, doc_id FROM doc_runs JOIN item_runs USING (run))",
+    "known AS (SELECT item_id AS qid, 's' || (item_id % 4) AS slice, (SELECT count(*) FROM quotes q WHERE q.qid = item_id) AS n_relevant FROM benchmark)",
+    "judged AS (SELECT k.*, b.rank, x.doc_id IS NOT NULL AS hit FROM known k LEFT JOIN best b USING (qid) LEFT JOIN quotes x ON x.qid = k.qid AND x.doc_id = b.doc_id)",
     "gains AS (SELECT qid, slice, n_relevant, coalesce(min(rank) FILTER (WHERE hit), 0) AS first, coalesce(sum(1.0 / log2(rank + 1.0)) FILTER (WHERE hit AND rank <= 3), 0) AS dcg FROM judged GROUP BY ALL)",
-    "scored AS (SELECT *, CASE WHEN first > 0 THEN 1.0 / first ELSE 0.0 END AS rr, (first = 1)::INTEGER::DOUBLE AS top1, (first BETWEEN 1 AND 3)::INTEGER::DOUBLE AS hit, dcg / list_sum(list_transform(range(1, least(3, n_relevant) + 1), lambda i: 1.0 / log2(i + 1.0))) AS ndcg_ref FROM gains)",
+    "scored AS (SELECT *, CASE WHEN first > 0 THEN 1.0 / first ELSE 0.0 END AS rr, (first = 1)::INTEGER::DOUBLE AS top1, (first BETWEEN 1 AND 3)::INTEGER::DOUBLE AS hit, CASE WHEN n_relevant > 0 THEN dcg / list_sum(list_transform(range(1, least(3, n_relevant) + 1), lambda i: 1.0 / log2(i + 1.0))) ELSE 0.0 END AS ndcg_ref FROM gains)",
 ]
 
 
@@ -563,17 +628,50 @@ def eval_by_slice(spark, d):
 _SET = [(1, "small ring", "short", ["small"]), (2, "red widget", "short", ["red widget"]), (3, "old gear", "", ["old", "gear"]), (4, "cold plate for standard brand", "long", ["cold plate"])]
 
 
-@_register("search_evaluation")
+_MEANS = "count(*) AS n, round(avg(top1), 6) AS top1, round(avg(hit), 6) AS hit, round(avg(rr), 6) AS mrr, round(avg(ndcg_ref), 6) AS ndcg_ref"
+_SET_TABLE = S.table("judgements", "qid, slice, n_relevant, prefix", [f"({q}::BIGINT, {S.text(at or 'unspecified')}, {len(prefixes)}, {S.text(p)})" for q, _, at, prefixes in _SET for p in prefixes])
+_SPLIT = lambda c: rf"list_filter(regexp_split_to_array({c}, '\s+'), lambda w: w <> '')"
+_PREFIX = f"starts_with(lower(trim(d.command)), j.prefix) OR ({_SPLIT('lower(trim(d.command))')})[1:len({_SPLIT('j.prefix')})] = {_SPLIT('j.prefix')}"
+_BOUNDARY = "lower(trim(d.command)) = j.prefix OR starts_with(lower(trim(d.command)), j.prefix || ' ')"
+
+
+def _evaluated(params: str, fits: str) -> list[str]:
+    """SQL parts: the search of _SET with these BM25 parameters, and its measures per query, ``measured``."""
+    return [
+        *S.CORPUS, S.queries([(q, t) for q, t, _, _ in _SET]), S.LEXICON, S.ANALYSIS, S.EXPANSION, S.CAP, S.TFIDF, S.EVERYONE, S.bm25_scores(params), S.char_scores(LIMIT), S.SIMILARITIES, S.fused(LIMIT),
+        S.FAMILIES, S.COVERAGE, S.PROXIMITY, S.FEATURES, S.results(LIMIT), _SET_TABLE,
+        f"ranked_hits AS (SELECT j.qid, j.slice, j.n_relevant, r.rank, bool_or({fits}) AS hit FROM judgements j LEFT JOIN results r USING (qid) LEFT JOIN docs d USING (doc_id) GROUP BY ALL)",
+        "rank_gains AS (SELECT qid, slice, n_relevant, coalesce(min(rank) FILTER (WHERE hit), 0) AS first, coalesce(sum(1.0 / log2(rank + 1.0)) FILTER (WHERE hit AND rank <= 3), 0) AS dcg FROM ranked_hits GROUP BY ALL)",
+        "measured AS (SELECT *, CASE WHEN first > 0 THEN 1.0 / first ELSE 0.0 END AS rr, (first = 1)::INTEGER::DOUBLE AS top1, (first BETWEEN 1 AND 3)::INTEGER::DOUBLE AS hit, dcg / list_sum(list_transform(range(1, least(3, n_relevant) + 1), lambda i: 1.0 / log2(i + 1.0))) AS ndcg_ref FROM rank_gains)",
+    ]
+
+
+@_register("search_evaluation", S.query(_evaluated(S.bm25f(), _PREFIX), f"SELECT coalesce(slice, '(all)') AS slice, {_MEANS}, round(avg(least(ndcg_ref, 1.0)), 6) AS ndcg FROM measured GROUP BY ROLLUP (slice)"))
 def search_evaluation(spark, d):
     q = spark.createDataFrame(_SET, "qid long, text string, slice string, relevant array<string>")
     return evaluate.summarised(evaluate.evaluate(_corpus(spark, d), q, OPEN)).select("slice", "n", *[R(c) for c in ("top1", "hit", "mrr", "ndcg_ref", "ndcg")])
 
 
-@_register("sweep_grid")
+_AXES = dict(k1=[0.9, 1.2], w_cmd=[2.0, 3.5])
+_SWEPT = " UNION ALL ".join(
+    f"SELECT * FROM ({S.query(_evaluated(S.bm25f(k1, w=(w, 1.0, 2.0, 1.2)), _BOUNDARY), f'SELECT {at}::INTEGER AS config, {_MEANS} FROM measured')})" for at, (k1, w) in enumerate((k1, w) for k1 in _AXES["k1"] for w in _AXES["w_cmd"])
+)
+
+
+@_register("sweep_grid", f"SELECT row_number() OVER (ORDER BY ndcg_ref DESC, hit DESC, top1 DESC, config)::INTEGER AS place, * FROM ({_SWEPT})")
 def sweep_grid(spark, d):
     q = spark.createDataFrame(_SET, "qid long, text string, slice string, relevant array<string>")
-    configs = evaluate.grid(OPEN, k1=[0.9, 1.2], w_cmd=[2.0, 3.5])
-    return evaluate.sweep(_corpus(spark, d), q, configs).select("place", "config", "n", *[R(c) for c in ("top1", "hit", "mrr", "ndcg_ref")])
+    return evaluate.sweep(_corpus(spark, d), q, evaluate.grid(OPEN, **_AXES)).select("place", "config", "n", *[R(c) for c in ("top1", "hit", "mrr", "ndcg_ref")])
+
+
+@_register("eval_worst", S.query(_JUDGED, "SELECT qid, round(rr, 6) AS rr FROM scored ORDER BY scored.rr, qid LIMIT 15"))
+def eval_worst(spark, d):
+    return evaluate.worst(evaluate.per_query(_judged(spark, d))).select("qid", R("rr"))
+
+
+@_register("eval_failures", S.query(_JUDGED, "SELECT metric, round(value, 6) AS value, floor FROM (SELECT unnest([{'metric': 'top1', 'value': avg(top1), 'floor': 0.9::DOUBLE}, {'metric': 'hit', 'value': avg(hit), 'floor': 0.0::DOUBLE}, {'metric': 'mrr', 'value': avg(rr), 'floor': 0.95::DOUBLE}], recursive := true) FROM scored) WHERE value < floor"))
+def eval_failures(spark, d):
+    return evaluate.failures(evaluate.summarised(evaluate.per_query(_judged(spark, d))), top1=0.9, hit=0.0, mrr=0.95).select("metric", R("value"), "floor")
 
 
 # --- history ----------------------------------------------------------------------------------------
@@ -638,13 +736,19 @@ def metric_histogram(spark, d):
 _BOUND_LIST = "[" + ", ".join(str(b) for b in metrics.BOUNDS) + "]::DOUBLE[]"
 
 
-@_register("metric_percentiles", S.query([_BUCKETS, "r AS (SELECT *, sum(n) OVER (PARTITION BY name ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY name) AS everything FROM buckets)", "p AS (SELECT unnest([50, 90, 95, 99]) AS p)"],
-    f"SELECT name, p::INTEGER AS p, CASE WHEN floor(any_value(everything) * p / 100) = 0 THEN {metrics.BOUNDS[0]} ELSE min(({_BOUND_LIST})[least(bucket + 1, {len(metrics.BOUNDS)})]) FILTER (WHERE upto >= floor(everything * p / 100)) END AS value FROM r, p GROUP BY name, p"))
+_POINTS = ["r AS (SELECT *, sum(n) OVER (PARTITION BY name ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY name) AS everything FROM buckets)", "p AS (SELECT unnest([50, 90, 95, 99]) AS p)",
+    f"points AS (SELECT name, p::INTEGER AS p, CASE WHEN floor(any_value(everything) * p / 100) = 0 THEN {metrics.BOUNDS[0]} ELSE min(({_BOUND_LIST})[least(bucket + 1, {len(metrics.BOUNDS)})]) FILTER (WHERE upto >= floor(everything * p / 100)) END AS value FROM r, p GROUP BY name, p)"]
+
+
+@_register("metric_percentiles", S.query([_BUCKETS, *_POINTS], "SELECT name, p, value FROM points"))
 def metric_percentiles(spark, d):
     return metrics.percentiles(metrics.histogram(_metrics(spark, d), ["name"]), ["name"], [50, 90, 95, 99])
 
 
-@_register("metric_export")
+@_register("metric_export", S.query([_BUCKETS, *_POINTS], """SELECT name, round(value, 4) AS value FROM (
+  SELECT event_type AS name, sum(value) AS value FROM events GROUP BY ALL UNION ALL SELECT event_type, trunc(arg_max(value, (ts, value)) * 1000) / 1000.0 FROM events GROUP BY ALL
+  UNION ALL SELECT name || '_count', sum(n)::DOUBLE FROM buckets GROUP BY name UNION ALL SELECT name || '_sum', sum(total) FROM buckets GROUP BY name
+  UNION ALL SELECT name || '_mean', sum(total) / sum(n) FROM buckets GROUP BY name UNION ALL SELECT name || '_p' || p, value FROM points)"""))
 def metric_export(spark, d):
     m = _metrics(spark, d)
     return metrics.exported(metrics.counters(m, ["name"]), metrics.gauges(m, ["name"]), metrics.histogram(m, ["name"])).select("name", R("value", 4))
@@ -732,12 +836,16 @@ def query_validate(spark, d):
 _FILES = [(1, "go.mod", None), (1, ".git", None), (1, "Makefile", "build: x\n\tgo build\n.PHONY: all\nA = b:c\n# c: d\ntest:\n"), (2, "package.json", '{"scripts": {"dev": "vite", "lint": "eslint"}}'), (2, "Dockerfile", None), (3, "readme.txt", None), (4, "main.tf", None), (4, "k8s-deploy.yaml", None), (4, "requirements.txt", None)]
 
 
-def _projects_sql() -> str:
+def _project_parts() -> list[str]:
     from lexigrove import lexicon
 
     rules = S.table("rules", "nth, type, pattern, language, build", [f"({i}, {S.text(t)}, {S.text(p)}, {S.text(lang) if lang else 'NULL'}, {S.text(b) if b else 'NULL'})" for i, (t, p, lang, b) in enumerate(lexicon.PROJECT_FILES)])
     files = S.table("files", "project_id, filename", [f"({p}::BIGINT, {S.text(f)})" for p, f, _ in _FILES])
-    return S.query([rules, files, "hits AS (SELECT f.*, r.* FROM files f JOIN rules r ON regexp_matches(f.filename, r.pattern))", "firsts AS (SELECT project_id, type, min((filename, nth)) AS spot FROM hits GROUP BY ALL)"],
+    return [rules, files, "hits AS (SELECT f.*, r.* FROM files f JOIN rules r ON regexp_matches(f.filename, r.pattern))", "firsts AS (SELECT project_id, type, min((filename, nth)) AS spot FROM hits GROUP BY ALL)"]
+
+
+def _projects_sql() -> str:
+    return S.query(_project_parts(),
         """SELECT p.project_id, coalesce((SELECT string_agg(type, ' ' ORDER BY spot) FROM firsts f WHERE f.project_id = p.project_id), 'generic') AS types,
            coalesce((SELECT arg_min(language, (filename, nth)) FROM hits h WHERE h.project_id = p.project_id AND language IS NOT NULL), '') AS language FROM (SELECT DISTINCT project_id FROM files) p""")
 
@@ -748,10 +856,40 @@ def project_context(spark, d):
     return projects.contexts(files).select("project_id", F.array_join("types", " ").alias("types"), "language")
 
 
-@_register("project_boosts")
+_CONTENTS = S.table("contents", "project_id, filename, content", [f"({p}::BIGINT, {S.text(f)}, {S.text(c)})" for p, f, c in _FILES if c])
+_SCRIPTS = "scripts AS (SELECT project_id, unnest(json_keys(content::JSON -> '$.scripts')) AS term FROM contents WHERE filename = 'package.json')"
+_TARGETS = """targets AS (SELECT project_id, term FROM (SELECT project_id, trim(string_split(line, ':')[1]) AS term FROM (SELECT project_id, trim(unnest(string_split(content, chr(10)))) AS line FROM contents WHERE lower(filename) = 'makefile')
+  WHERE contains(line, ':') AND NOT starts_with(line, '#')) WHERE term <> '' AND NOT contains(term, '=') AND NOT starts_with(term, '.'))"""
+
+
+def _files(spark) -> DataFrame:
+    return spark.createDataFrame(_FILES, "project_id long, filename string, content string")
+
+
+def _boosts_sql() -> str:
+    from lexigrove import lexicon
+
+    boosts = S.table("boosts", "type, term, boost", [f"({S.text(t)}, {S.text(k)}, {v}::DOUBLE)" for t, b in lexicon.PROJECT_BOOSTS.items() for k, v in b.items()])
+    typed = """typed AS (SELECT project_id, type, row_number() OVER (PARTITION BY project_id ORDER BY spot) AS place FROM firsts
+  UNION ALL SELECT DISTINCT project_id, 'generic', 1 FROM files WHERE project_id NOT IN (SELECT project_id FROM firsts))"""
+    own = "own AS (SELECT * FROM scripts UNION ALL SELECT * FROM targets)"
+    return S.query([*_project_parts(), boosts, _CONTENTS, _SCRIPTS, _TARGETS, typed, own],
+        f"SELECT project_id, term, boost FROM (SELECT project_id, term, boost, place FROM typed JOIN boosts USING (type) UNION ALL SELECT project_id, term, {projects.LISTED}::DOUBLE, 1000 FROM own) QUALIFY row_number() OVER (PARTITION BY project_id, term ORDER BY place DESC) = 1")
+
+
+@_register("project_boosts", _boosts_sql())
 def project_boosts(spark, d):
-    files = spark.createDataFrame(_FILES, "project_id long, filename string, content string")
-    return projects.context_boosts(files)
+    return projects.context_boosts(_files(spark))
+
+
+@_register("package_scripts", S.query([_CONTENTS, _SCRIPTS], "SELECT project_id, term FROM scripts"))
+def package_scripts(spark, d):
+    return projects.package_scripts(_files(spark))
+
+
+@_register("make_targets", S.query([_CONTENTS, _TARGETS], "SELECT project_id, term FROM targets"))
+def make_targets(spark, d):
+    return projects.make_targets(_files(spark))
 
 
 @_register("pipeline_steps", S.query([S.DOCS], "SELECT doc_id, i::INTEGER AS step, trim(p[i]) AS text FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, string_split(command || ' | sort | ' || niche, '|') AS p FROM docs))"))

@@ -140,3 +140,21 @@ def test_vector_channel_is_capped_and_filtered(spark, corpus):
     sims = spark.createDataFrame([(0, i, 0.05 + 0.1 * i) for i in range(7)], "qid long, doc_id long, sim double")
     got = {r["doc_id"] for r in channels.vector_scores(corpus, sims, Options(limit=1, all_platforms=True)).collect()}
     assert got == {1, 2, 3, 4, 5, 6}
+
+
+def test_more_queries_than_one_block_holds(spark, corpus, monkeypatch):
+    asked = ask(spark, "git commit", "find files", "create archive", "show status", "list", "zzz")
+    whole = [sorted(map(tuple, f(corpus.docs, asked).collect())) for f in (legacy.legacy_search, fuzzy.fuzzy_search)]
+    monkeypatch.setattr(channels, "QUERY_ROWS", 2)
+    assert len(channels.blocks(asked)) == 6
+    assert whole == [sorted(map(tuple, f(corpus.docs, asked).collect())) for f in (legacy.legacy_search, fuzzy.fuzzy_search)]
+
+
+def test_quotes_at_any_place_of_an_item(spark):
+    from lexigrove.plans.queries import _quotes
+
+    item = " ".join(f"w{i}" for i in range(30))
+    items = spark.createDataFrame([(1, item), (2, "Two words"), (3, ""), (4, None)], "qid long, text string")
+    docs = [(1, "x " + " ".join(f"W{i}" for i in range(20, 30))), (2, " ".join(f"w{i}" for i in range(9))), (3, "say two, words!"), (4, None), (5, ""), (6, item), (7, "two other words")]
+    found = {tuple(r) for r in _quotes(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert found == {(1, 1), (2, 3), (1, 6)}
