@@ -14,6 +14,11 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(doubles(a), doubles(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def _once(c: Column, f) -> Column:
+    """f(c) with c computed once: a lambda holds its value, where a plain expression is written out, and computed, at every use."""
+    return F.transform(F.array(c), f)[0]
+
+
 def norm(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 
@@ -26,11 +31,11 @@ def cosine(a: Column, b: Column) -> Column:
 
 def normalized(v: Column) -> Column:
     """Unit length; a zero vector stays."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(doubles(v), lambda x: x / n)).otherwise(doubles(v))
+    unit = lambda w: _once(norm(w), lambda n: F.when(n > 0, F.transform(w, lambda x: x / n)).otherwise(w))
+    return _once(doubles(v), unit)
 
 
 def without(v: Column, direction: Column) -> Column:
     """V less its projection on a unit direction."""
-    along = dot(v, direction)
-    return F.zip_with(doubles(v), direction, lambda x, u: x - along * u)
+    less = lambda w: _once(dot(w, direction), lambda along: F.zip_with(w, direction, lambda x, u: x - along * u))
+    return _once(doubles(v), less)

@@ -520,7 +520,18 @@ def centroid_by_label(spark, d):
     return _t(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("x"))
 
 
-@_register("dominant_component_removed")
+_UNIT = lambda v: f"list_transform({v}, lambda x: x / sqrt(list_inner_product({v}, {v})))"
+
+
+@_register("dominant_component_removed", f"""WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id AS doc_id, {_UNIT('e')} AS vec FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)),
+cells AS (SELECT doc_id, unnest(range(1, len(vec) + 1)) AS i, unnest(vec) AS x FROM v),
+lines AS (SELECT a.i, b.i AS j, sum(a.x * b.x) AS g FROM cells a JOIN cells b USING (doc_id) GROUP BY ALL),
+gram AS MATERIALIZED (SELECT list(line ORDER BY i) AS m FROM (SELECT i, list(g ORDER BY j) AS line FROM lines GROUP BY i)),
+turns(k, u) AS (
+  SELECT 0, list_transform(m, lambda r: 1.0::DOUBLE / sqrt(len(m)::DOUBLE)) FROM gram
+  UNION ALL SELECT k + 1, {_UNIT('w')} FROM (SELECT k, list_transform(m, lambda r: list_inner_product(r, u)) AS w FROM turns, gram WHERE k < {vectors.ROUNDS})),
+less AS (SELECT doc_id, list_transform(list_zip(vec, u), lambda z: z[1] - along * z[2]) AS w FROM (SELECT doc_id, vec, u, list_inner_product(vec, u) AS along FROM v, turns WHERE k = {vectors.ROUNDS}))
+SELECT doc_id, i::INTEGER AS i, round(x, 6) AS x FROM (SELECT doc_id, unnest(range(0, len(w))) AS i, unnest({_UNIT('w')}) AS x FROM less)""")
 def dominant_component_removed(spark, d):
     e = _t(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), V.normalized(F.col("embedding")).alias("vec"))
     out = vectors.without_dominant(e, vectors.dominant_direction(e))
