@@ -6,10 +6,11 @@ import hashlib
 import json
 import threading
 import time
-from collections import OrderedDict
+from collections import OrderedDict, deque
 from collections.abc import Callable
 from dataclasses import asdict
 
+from lexigrove.operators.metrics import Monitor, benchmark
 from lexigrove.options import Options
 
 
@@ -83,11 +84,11 @@ def cache_key(query: str, options: Options) -> str:
 
 
 class CachedSearch:
-    """Search one query at a time through a cache; empty results are not kept. ``timings`` has (query, seconds, hit)."""
+    """Search one query at a time through a cache; empty results are not kept. ``timings`` has the last (query, seconds, hit), ``monitor`` the metrics of all."""
 
-    def __init__(self, corpus, cache: LruCache | None = None):
-        self.corpus, self.cache, self.enabled = corpus, cache or LruCache(), True
-        self.timings: list[tuple[str, float, bool]] = []
+    def __init__(self, corpus, cache: LruCache | None = None, monitor: Monitor | None = None, timings: int = 10_000):
+        self.corpus, self.cache, self.enabled, self.monitor = corpus, cache or LruCache(), True, monitor or Monitor()
+        self.timings: deque[tuple[str, float, bool]] = deque(maxlen=timings)
 
     def search(self, spark, query: str, options: Options | None = None) -> list:
         from lexigrove.operators.search import search
@@ -100,11 +101,19 @@ class CachedSearch:
             rows = search(self.corpus, spark.createDataFrame([(0, query)], "qid long, text string"), options).orderBy("rank").collect()
             if rows and self.enabled:
                 self.cache.put(key, rows)
-        self.timings.append((query, time.monotonic() - began, hit))
+        took = time.monotonic() - began
+        self.timings.append((query, took, hit))
+        self.monitor.searched(took, len(rows), hit, query)
         return rows
 
     def replace_corpus(self, corpus) -> None:
         """All tables of the new corpus are built anew, and nothing cached survives."""
+        began = time.monotonic()
         self.corpus.release()
         self.corpus = corpus
         self.cache.clear()
+        self.monitor.operated("load", time.monotonic() - began)
+
+    def benchmark(self, spark, queries: list[str], iterations: int, options: Options | None = None) -> list[dict]:
+        """A29 of each query's search, through the cache."""
+        return [benchmark(f"search_{q}", lambda q=q: self.search(spark, q, options), iterations) for q in queries]

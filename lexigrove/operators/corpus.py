@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from lexigrove.cluster import spread
 from lexigrove.functions import text as X
 from lexigrove.schema import records
+from lexigrove.sources.records import appended
 
 FIELDS = ("cmd", "desc", "keys", "tags")
 
@@ -178,9 +179,7 @@ class Corpus:
         """Personal records after the main ones, ids going on; nothing is taken for a duplicate."""
         if personal is None:
             return self
-        last = self.docs.agg(F.coalesce(F.max("doc_id"), F.lit(-1))).first()[0]
-        more = records(personal).withColumn("doc_id", F.col("doc_id") + F.lit(last + 1))
-        return Corpus.of(self.docs.unionByName(more))
+        return Corpus.of(appended(self.docs, personal))
 
     def release(self) -> None:
         """Give back what Spark keeps of the tables."""

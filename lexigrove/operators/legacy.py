@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 from lexigrove import lexicon
 from lexigrove.functions import text as X
-from lexigrove.operators.channels import blocks
+from lexigrove.operators import analysis
+from lexigrove.operators.channels import blocks, bounded, tfidf_similarities, top
+from lexigrove.operators.corpus import Corpus
+from lexigrove.operators.features import intent_boost
 from lexigrove.operators.fuzzy import fuzzy_search
 from lexigrove.operators.platforms import CROSS, is_cross_platform_tool, is_pipeline
 from lexigrove.options import Options
@@ -134,6 +137,27 @@ def exact_and_fuzzy(docs: DataFrame, queries: DataFrame, options: Options | None
     return _best(both.withColumn("nth", F.row_number().over(once)).filter("nth = 1"), limit)
 
 
+def nlp_search(corpus: Corpus, queries: DataFrame, options: Options | None = None) -> DataFrame:
+    """R34 where no index was built before: (qid, rank, doc_id, score).
+
+    Up to 2 L records by TF-IDF at 100 times their cosine. A query with fewer than L gets, for
+    the places left, the best records of R33 for its enhanced keywords, at 0.8 of their score
+    times the record's intent boost (F18). A record that both find is there once, with the higher score.
+    """
+    o = options or Options(limit=5)
+    limit = o.limit if o.limit > 0 else 5
+    n = queries.count()
+    near = tfidf_similarities(corpus, queries, n, 2 * limit).select("qid", "doc_id", (F.col("sim") * 100.0).alias("score"))
+    found = near.groupBy("qid").agg(F.count("*").alias("found"))
+    short = bounded(analysis.analyze(queries), n).join(found, "qid", "left").withColumn("room", F.lit(limit) - F.coalesce("found", F.lit(0))).filter("room > 0")
+    asked = short.select("qid", F.array_join(analysis.enhanced_keywords(), " ").alias("text"))
+    more = exact_and_fuzzy(corpus.docs, asked, Options(**{**o.__dict__, "limit": limit}))
+    sides = short.select("qid", "actions", "targets", "intent", "room")
+    more = more.join(bounded(sides, n), "qid").filter(F.col("rank") <= F.col("room")).select("qid", "doc_id", (F.col("score") * intent_boost() * 0.8).alias("score"))
+    once = near.unionByName(more).groupBy("qid", "doc_id").agg(F.max("score").alias("score"))
+    return top(once, "score", limit).select("qid", "rank", "doc_id", "score")
+
+
 def recovery_search(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """Records whose command has the whole query; else command or description the first word; else any word of two bytes.
 

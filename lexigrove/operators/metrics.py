@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import gc
+import time
+import tracemalloc
+from bisect import bisect_left
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Upper bounds of the histogram buckets.
@@ -72,7 +78,71 @@ def latency(rows: DataFrame) -> DataFrame:
 
 
 def derived(export: DataFrame) -> DataFrame:
-    """Cache hit ratio, searches a second and mean search time from exported() rows named as the monitor names them; tagged series are summed by name."""
+    """Cache hit ratio, searches a second of uptime and mean search time in ms, of exported() rows named as Monitor names them; tagged series are summed by name. 0 where there is nothing to divide by."""
     v = lambda name: F.coalesce(F.sum(F.when(F.col("name") == name, F.col("value"))), F.lit(0.0))
-    hits, misses, searches, seconds = v("cache_hits"), v("cache_misses"), v("search_count"), v("search_duration_sum")
-    return export.agg(F.when(hits + misses > 0, hits / (hits + misses)).otherwise(0.0).alias("hit_ratio"), F.when(seconds > 0, searches / seconds).otherwise(0.0).alias("searches_per_second"), F.when(searches > 0, seconds / searches).otherwise(0.0).alias("mean_seconds"))
+    share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    hits, misses = v("cache_hits_total"), v("cache_misses_total")
+    return export.agg(
+        share(hits, hits + misses).alias("hit_ratio"), share(v("searches_total"), v("system_uptime")).alias("searches_per_second"), share(v("search_duration_sum"), v("search_duration_count")).alias("mean_search_ms")
+    )
+
+
+class Monitor:
+    """Metrics of searches on the driver: totals, last values and buckets, whose number does not grow with the searches."""
+
+    def __init__(self, clock: Callable[[], float] = time.monotonic):
+        self.enabled, self._clock, self._began = True, clock, clock()
+        self.counters: dict[str, float] = {}
+        self.gauges: dict[str, float] = {}
+        self.buckets: dict[tuple[str, int], list[float]] = {}
+
+    def count(self, name: str, by: float = 1.0) -> None:
+        self.counters[name] = self.counters.get(name, 0.0) + by
+
+    def observe(self, name: str, value: float) -> None:
+        held = self.buckets.setdefault((name, bisect_left(BOUNDS, value)), [0, 0.0])
+        held[0] += 1
+        held[1] += value
+
+    def searched(self, seconds: float, results: int, hit: bool, query: str) -> None:
+        """One search: its time in ms, results, length of the query in bytes, and whether the cache had it."""
+        if self.enabled:
+            self.observe("search_duration", seconds * 1000.0)
+            self.observe("query_length", float(len(query.encode())))
+            self.gauges["search_results"] = float(results)
+            self.count("searches_total")
+            self.count("cache_hits_total" if hit else "cache_misses_total")
+
+    def operated(self, operation: str, seconds: float) -> None:
+        """Another operation, such as the loading of a corpus."""
+        if self.enabled:
+            self.observe(f"database_operation_duration_{operation}", seconds * 1000.0)
+            self.count("database_operations_total")
+
+    def exported(self, spark: SparkSession) -> DataFrame:
+        """(name, value) of everything so far, and ``system_uptime`` in seconds."""
+        plain = lambda rows: spark.createDataFrame(list(rows.items()), "name string, value double")
+        held = spark.createDataFrame([(name, i, int(n), total) for (name, i), (n, total) in self.buckets.items()], "name string, bucket int, n long, total double")
+        return exported(plain(self.counters), plain({**self.gauges, "system_uptime": self._clock() - self._began}), held)
+
+
+def benchmark(name: str, run: Callable[[], object], iterations: int, clock: Callable[[], float] = time.perf_counter) -> dict:
+    """Name, iterations, seconds, ns_per_op, bytes_per_op of calls of ``run``, after a collection of garbage.
+
+    bytes_per_op is what Python on the driver holds more after the calls than before, by call;
+    executors' memory is not in it. No calls: zeros.
+    """
+    gc.collect()
+    traced = tracemalloc.is_tracing()
+    if not traced:
+        tracemalloc.start()
+    before, began = tracemalloc.get_traced_memory()[0], clock()
+    try:
+        for _ in range(iterations):
+            run()
+        seconds, held = clock() - began, tracemalloc.get_traced_memory()[0] - before
+    finally:
+        if not traced:
+            tracemalloc.stop()
+    n = max(iterations, 1)
+    return {"name": name, "iterations": max(iterations, 0), "seconds": seconds if iterations > 0 else 0.0, "ns_per_op": int(seconds * 1e9 / n) if iterations > 0 else 0, "bytes_per_op": held // n if iterations > 0 else 0}

@@ -333,6 +333,12 @@ def nlp_search(spark, d):
     return channels.nlp_search(_corpus(spark, d), _queries(spark), len(QUERY_SET), LIMIT).select("qid", "rank", "doc_id", R("score", 4))
 
 
+@_register("nlp_search_unindexed")
+def nlp_search_unindexed(spark, d):
+    """R34 without an index: its fallback joins in where TF-IDF finds fewer than five records."""
+    return legacy.nlp_search(_corpus(spark, d), _queries(spark), Options(limit=LIMIT, use_fuzzy=False)).select("qid", "rank", "doc_id", R("score", 4))
+
+
 @_register("tfidf_vocab_stats", S.query([S.DOCS, S.TFIDF], "SELECT (SELECT count(*) FROM vocabulary) AS vocabulary_size, (SELECT count(*) FROM docs) AS total_documents, round((SELECT count(*) FROM weights) / (SELECT count(*) FROM docs)::DOUBLE, 6) AS avg_terms"))
 def tfidf_vocab_stats(spark, d):
     c = _corpus(spark, d)
@@ -765,6 +771,21 @@ def metric_export(spark, d):
     return metrics.exported(metrics.counters(m, ["name"]), metrics.gauges(m, ["name"]), metrics.histogram(m, ["name"])).select("name", R("value", 4))
 
 
+_MONITORED = {"click": "cache_hits_total", "error": "cache_misses_total", "signup": "searches_total", "view": "system_uptime"}
+
+
+@_register("metric_derived", """WITH v AS (SELECT event_type AS name, sum(value) AS total, count(*) AS n FROM events GROUP BY ALL), t AS (SELECT any_value(total) FILTER (WHERE name = 'click') AS hits,
+  any_value(total) FILTER (WHERE name = 'error') AS misses, any_value(total) FILTER (WHERE name = 'signup') AS searches, any_value(total) FILTER (WHERE name = 'view') AS uptime, any_value(total / n) FILTER (WHERE name = 'purchase') AS mean FROM v)
+  SELECT round(hits / (hits + misses), 6) AS hit_ratio, round(searches / uptime, 6) AS searches_per_second, round(mean, 6) AS mean_search_ms FROM t""")
+def metric_derived(spark, d):
+    """Four event types as totals, purchases as search times."""
+    m = _metrics(spark, d)
+    named = F.create_map(*[F.lit(x) for kv in _MONITORED.items() for x in kv])[F.col("name")]
+    totals = metrics.counters(m.withColumn("name", named).filter("name is not null"), ["name"])
+    times = metrics.histogram(m.filter("name = 'purchase'").withColumn("name", F.lit("search_duration")), ["name"])
+    return metrics.derived(metrics.exported(totals, totals.limit(0), times)).select(R("hit_ratio"), R("searches_per_second"), R("mean_search_ms"))
+
+
 @_register("query_latency", "SELECT event_type AS query, count(*) AS iterations, round(avg(value), 6) AS avg, min(value) AS min, max(value) AS max, round(sum((user_id % 2 = 0)::INTEGER) / (count(*) - 1)::DOUBLE, 6) AS hit_ratio FROM events GROUP BY event_type")
 def query_latency(spark, d):
     rows = _t(spark, d, "events").select(F.col("event_type").alias("query"), "value", (F.col("user_id") % 2 == 0).alias("hit"))
@@ -812,6 +833,36 @@ def page_links(spark, d):
     return _t(spark, d, "pages").select("page_id", F.explode(pages.html_links(F.col("html"))).alias("l")).select("page_id", "l.target", "l.label")
 
 
+def _manuals(spark, d) -> DataFrame:
+    """Manual pages in Markdown of all parts: name, type and brand, two examples."""
+    content = F.concat(F.lit("# "), "p_name", F.lit("\n\n> "), "p_type", F.lit(" See `"), "p_brand", F.lit(" --all`.\n\n- Create the "), "p_type", F.lit(":\n\n`"), "p_name", F.lit(" --make {{x}}`\n\n- Remove it:\n\n`"), "p_name", F.lit(" -r`\n"))
+    folder = F.when(F.col("p_size") % 3 == 0, "common").when(F.col("p_size") % 3 == 1, "osx").otherwise("other")
+    return _t(spark, d, "part").select(folder.alias("folder"), F.lpad(F.col("p_partkey").cast("string"), 12, "0").alias("path"), content.alias("content"))
+
+
+@_register("page_records", """SELECT p_name AS command, arg_min(p_type || ' See `' || p_brand || ' --all`.', p_partkey) AS description, string_split(p_name, ' ')[1] AS niche,
+  array_to_string(list_sort(list_distinct(flatten(list(CASE p_size % 3 WHEN 0 THEN ['linux', 'macos', 'windows'] WHEN 1 THEN ['macos'] ELSE [] END)))), ' ') AS platform FROM part GROUP BY p_name""")
+def page_records(spark, d):
+    """S31, S33, S36, S38"""
+    return pages.merged(_manuals(spark, d)).select("command", "description", "niche", F.array_join("platform", " ").alias("platform"))
+
+
+@_register("page_examples", """SELECT p_partkey, 'Create the ' || p_type AS text, p_name || ' --make {{x}}' AS command FROM part UNION ALL SELECT p_partkey, 'Remove it', p_name || ' -r' FROM part""")
+def page_examples(spark, d):
+    """S32"""
+    rows = _manuals(spark, d).select(F.col("path").cast("long").alias("p_partkey"), F.explode(pages.examples(F.col("content"))).alias("e"))
+    return rows.select("p_partkey", "e.text", "e.command")
+
+
+@_register("page_aliases", """SELECT p_partkey, family, array_to_string(CASE WHEN other = family THEN [] ELSE [other] END, ' ') AS aliases FROM (SELECT p_partkey, trim(lower(regexp_replace(string_split(p_name, ' ')[1], '[^a-zA-Z0-9_-]', '', 'g')), '-_') AS family,
+  trim(lower(regexp_replace(string_split(p_brand, ' ')[1], '[^a-zA-Z0-9_-]', '', 'g')), '-_') AS other FROM part)""")
+def page_aliases(spark, d):
+    """S36, S37"""
+    name = F.col("p_name")
+    said = F.concat(F.lit("See `"), "p_brand", F.lit(" --all` or `a b c d`."))
+    return _t(spark, d, "part").select("p_partkey", pages.family(name).alias("family"), F.array_join(pages.aliases(said, name), " ").alias("aliases"))
+
+
 def _page_words_sql() -> str:
     from lexigrove import lexicon
 

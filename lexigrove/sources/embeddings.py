@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import struct
+import sys
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -14,6 +16,13 @@ from lexigrove.cluster import ship
 MAGIC, VERSION = b"WTFE", 1  # fixed values: the record vectors' header
 
 
+def find_asset(name: str, folders: tuple[str, ...] = (".", "assets")) -> str | None:
+    """The first of these folders of the driver, and of those beside the running program, that has the file; None if none has."""
+    program = Path(sys.argv[0] or ".").resolve().parent
+    places = [Path(f) / name for f in folders] + [program / "assets" / name, program / name]
+    return next((str(p) for p in places if p.is_file()), None)
+
+
 def word_rows(data: bytes, dimension: int) -> pd.DataFrame:
     """Little-endian count, then for each word its length (two bytes), bytes and floats. A later copy of a word wins."""
     (n,), at, found = struct.unpack_from("<I", data, 0), 4, {}

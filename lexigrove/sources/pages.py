@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrove import lexicon
+from lexigrove.cluster import ship
 from lexigrove.functions.text import words_literal
 from lexigrove.schema import records
 
 OBJECTS = 8
+#: Pages of an archive that go on together.
+ARCHIVE_ROWS = 256
 
 
 def token(c: Column) -> Column:
@@ -75,6 +83,22 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -2).alias("folder"), "path", F.col("value").alias("content"))
 
 
+def _unpacked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        for content in frame["content"]:
+            with zipfile.ZipFile(io.BytesIO(bytes(content))) as archive:
+                names = [n for n in archive.namelist() if n.endswith(".md")]
+                for at in range(0, len(names), ARCHIVE_ROWS):
+                    rows = [((["", *n.split("/")])[-2], n, archive.read(n).decode("utf-8", "replace")) for n in names[at : at + ARCHIVE_ROWS]]
+                    yield pd.DataFrame(rows, columns=["folder", "path", "content"])
+
+
+def read_zip(spark: SparkSession, path: str) -> DataFrame:
+    """Pages (folder, path, content) of zip archives of such trees; other members are left out. An archive is one task's work, of at most 2 GB."""
+    ship(spark)
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(_unpacked, "folder string, path string, content string")
+
+
 def html_title(html: Column) -> Column:
     """The text of a web page's title, with its entities as they are."""
     return F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import time
 from collections.abc import Callable, Iterator
 
@@ -79,6 +80,12 @@ def upsert(notebook: DataFrame, entries: DataFrame) -> DataFrame:
     return old.join(new.select("command"), "command", "left_anti").select(*[f.name for f in RECORD]).unionByName(placed.select(*[f.name for f in RECORD]))
 
 
+def appended(docs: DataFrame, more: DataFrame) -> DataFrame:
+    """Further records after those of ``docs``, ids going on; nothing is taken for a duplicate."""
+    last = docs.agg(F.coalesce(F.max("doc_id"), F.lit(-1))).first()[0]
+    return records(docs).unionByName(records(more).withColumn("doc_id", F.col("doc_id") + F.lit(last + 1)))
+
+
 # The records that are there when no file can be read.
 EMBEDDED = [
     ("ls -la", "list all files in long format", ["list", "files"]), ("cd", "change directory", ["directory", "navigate"]), ("pwd", "print working directory", ["directory", "path"]),
@@ -123,12 +130,28 @@ def retried(read: Callable[[], DataFrame], attempts: int = 3, sleep: Callable[[f
     raise CorpusUnreadable("no attempt was made")
 
 
-def with_fallback(spark: SparkSession, read: Callable[[], DataFrame], backup: Callable[[], DataFrame] | None = None) -> tuple[DataFrame, str]:
-    """(records, where they come from): the corpus, its backup, the embedded records."""
-    for name, attempt in (("primary", read), ("backup", backup)):
+def with_fallback(
+    spark: SparkSession, read: Callable[[], DataFrame], backup: Callable[[], DataFrame] | None = None, personal: Callable[[], DataFrame] | None = None, sleep: Callable[[float], None] = time.sleep
+) -> tuple[DataFrame, str]:
+    """(records, where they come from): the corpus, its backup, the embedded records.
+
+    Each source has its attempts and delays (S23, S24). The personal records follow those of the
+    corpus; where there is no personal file the corpus stands alone, and one that cannot be read
+    counts as a failure of the corpus. Backup and embedded records come without personal ones.
+    """
+
+    def whole() -> DataFrame:
+        docs = records(read())
+        try:
+            more = personal() if personal is not None else None
+        except CorpusNotFound:
+            more = None
+        return docs if more is None else appended(docs, more)
+
+    for name, attempt in (("primary", whole), ("backup", backup)):
         if attempt is not None:
             try:
-                return retried(attempt, sleep=lambda s: None), name
-            except Exception:  # the next source is tried
-                continue
+                return retried(attempt, sleep=sleep), name
+            except Exception as e:  # the next source is tried, and the reason is told
+                logging.getLogger(__name__).warning("the %s corpus cannot be read: %s", name, e)
     return embedded(spark), "embedded"

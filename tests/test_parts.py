@@ -1,6 +1,7 @@
 """Text, sanitising, cache, sources, projects, vectors, history and metrics in the small."""
 
 import math
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,11 +12,13 @@ from lexigrove.cluster import spread
 from lexigrove.functions import sanitize
 from lexigrove.functions import text as X
 from lexigrove.functions import vectors as V
-from lexigrove.operators import history, metrics, projects, vectors
+from lexigrove.operators import analysis, channels, history, legacy, metrics, projects, vectors
 from lexigrove.operators.corpus import Corpus
 from lexigrove.options import Options
 from lexigrove.plans import queries as plans
+from lexigrove.errors import CorpusNotFound
 from lexigrove.sources import embeddings, pages, records
+from lexigrove.sources.embeddings import find_asset
 from lexigrove.streaming import events
 
 
@@ -75,6 +78,73 @@ def test_yaml_round_trip_and_fallback(spark, tmp_path):
     assert records.delay(1) == 0.1 and records.delay(20) == 5.0
 
 
+def test_recovery_with_personal_records(spark):
+    main, own = records.embedded(spark), records.minimal(spark)
+    waits = []
+
+    def fails():
+        raise OSError("busy")
+
+    def missing():
+        raise CorpusNotFound("none")
+
+    docs, source = records.with_fallback(spark, lambda: main, personal=lambda: own)
+    assert source == "primary" and docs.count() == 13 and docs.filter("command = 'man'").first()["doc_id"] == 12
+    docs, source = records.with_fallback(spark, lambda: main, personal=missing)
+    assert source == "primary" and docs.count() == 11
+    docs, source = records.with_fallback(spark, lambda: main, backup=lambda: own, personal=fails, sleep=waits.append)
+    assert source == "backup" and docs.count() == 2 and waits == [0.1, 0.2]
+    assert records.with_fallback(spark, missing, sleep=waits.append)[1] == "embedded" and len(waits) == 2  # no attempt mends a missing file
+
+
+def test_assets(tmp_path):
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "v.bin").write_bytes(b"x")
+    assert find_asset("v.bin", (str(tmp_path), str(tmp_path / "b"))) == str(tmp_path / "b" / "v.bin")
+    assert find_asset("none.bin", (str(tmp_path),)) is None
+
+
+def test_monitored_searches(spark):
+    now = iter([0.0, 10.0])
+    monitor = metrics.Monitor(clock=lambda: next(now))
+    monitor.searched(0.002, 3, False, "tar")
+    monitor.searched(0.004, 5, True, "tar")
+    rows = monitor.exported(spark)
+    values = {r["name"]: r["value"] for r in rows.collect()}
+    assert values["searches_total"] == 2 and values["search_results"] == 5 and values["search_duration_sum"] == 6.0 and values["system_uptime"] == 10.0
+    report = metrics.derived(rows).first()
+    assert (report["hit_ratio"], report["searches_per_second"], report["mean_search_ms"]) == (0.5, 0.2, 3.0)
+    ticks = iter([1.0, 3.0])
+    assert metrics.benchmark("x", lambda: None, 4, clock=lambda: next(ticks))["ns_per_op"] == 500_000_000
+
+
+def test_nlp_search_fills_up_with_keyword_matches(spark):
+    docs = [(0, "tar", "archive files", ["archive"]), (1, "mkdir", "create a directory", ["directory"]), (2, "find", "find files", ["find"]), (3, "ls", "zzz", [])]
+    corpus = Corpus.of(spark.createDataFrame(docs, "doc_id long, command string, description string, keywords array<string>"))
+    asked = spark.createDataFrame([(1, "create directory"), (2, "zzqx"), (3, None)], "qid long, text string")
+    near = {(r["qid"], r["doc_id"]): r["sim"] * 100 for r in channels.tfidf_similarities(corpus, asked, 3, 10).collect()}
+    got = legacy.nlp_search(corpus, asked, Options(limit=5, use_fuzzy=False)).collect()
+    scores = {(r["qid"], r["doc_id"]): r["score"] for r in got}
+    assert near and all(scores[k] >= v for k, v in near.items()) and {q for q, _ in scores} == {1}
+    q = spark.createDataFrame([(1, "create directory")], "qid long, text string")
+    side = analysis.analyze(q).select("*", analysis.enhanced_keywords().alias("k")).first()
+    room = 5 - len([k for k in near if k[0] == 1])
+    more = legacy.exact_and_fuzzy(corpus.docs, spark.createDataFrame([(1, " ".join(side["k"]))], "qid long, text string"), Options(limit=5, use_fuzzy=False)).filter(f"rank <= {room}").collect()
+    assert more and set(scores) == set(near) | {(1, r["doc_id"]) for r in more}
+    assert [r["rank"] for r in sorted(got, key=lambda r: -r["score"])] == list(range(1, len(got) + 1))
+
+
+def test_pages_in_archives(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "pages.zip", "w") as out:
+        for i in range(300):
+            out.writestr(f"main/pages/linux/p{i}.md", f"# p{i}\n\n> Page é {i}.\n")
+        out.writestr("main/readme.txt", "x")
+        out.writestr("top.md", "# top\n")
+    rows = pages.read_zip(spark, str(tmp_path / "pages.zip")).collect()
+    assert len(rows) == 301 and {r["folder"] for r in rows} == {"linux", ""}
+    assert next(r for r in rows if r["path"].endswith("/p299.md"))["content"] == "# p299\n\n> Page é 299.\n"
+
+
 def test_normal_form_of_records(spark):
     df = spark.createDataFrame([(1, None, None, "x")], "doc_id long, command string, keywords array<string>, other string")
     row = schema.records(df).first()
