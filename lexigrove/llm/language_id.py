@@ -176,7 +176,14 @@ def identify(docs: DataFrame, identifier: Identifier | None, carry: list[str]) -
 
 
 def language_report(docs: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, rejected for every row of ``docs`` (doc_id, text, lang)."""
+    """doc_id, held_out, lang_pred, score, rejected for every row of ``docs`` (doc_id, text, lang).
+
+    Other columns, whatever their names, are not looked at. A null id is an id whose text is
+    empty; a null language is not learned from. Null texts and texts without a letter are
+    ``und`` with score 0, and so is every text where nothing could be learned. Repeated rows
+    are predicted alike, a tie goes to the first language in code-point order; whole texts of
+    any length count; no rows give no rows.
+    """
     own = docs.select("doc_id", "text", "lang")
     out = identify(own, train(own, fold(F.col("doc_id"), folds) != held_out), ["doc_id"])
     return out.select("doc_id", (fold(F.col("doc_id"), folds) == held_out).alias("held_out"), "lang_pred", "score", "rejected")

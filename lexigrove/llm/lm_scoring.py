@@ -152,7 +152,15 @@ def cross_entropy_difference(rows: DataFrame, carry: list[str]) -> DataFrame:
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, loss_target, loss_background, score of all ``docs``; the target are those that ``labels`` gives quality 1."""
+    """doc_id, n_tokens, loss_target, loss_background, score of all ``docs``; the target are those that ``labels`` gives quality 1.
+
+    ``docs`` needs doc_id and text, ``labels`` doc_id and quality; other columns, whatever
+    their names, are not looked at. Null, empty and blank texts have no tokens, and null
+    losses and score. Repeated rows count each and score alike; an id with several labels is
+    of the target if one is 1; a null id is of the background. Without a label of 1 the
+    target's losses are those of a model without counts. Whole texts of any length count; no
+    rows give no rows.
+    """
     own = docs.select("doc_id", "text")
     good = labels.groupBy(F.col("doc_id").alias("target_id")).agg(F.max("quality").alias("q")).filter("q = 1 and target_id is not null").select("target_id")
     good = small_side(good, good.count())

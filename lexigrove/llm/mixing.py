@@ -104,7 +104,9 @@ def mix_report(docs: DataFrame, weights: list[float] = (3, 1, 2), share: float =
 def mix(docs: DataFrame, weights: list[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
     """The mix itself: every row of ``docs`` as often as the mix takes it, with its columns as they are.
 
-    Rows without words cost nothing and stay once.
+    Rows without words (null texts among them) cost nothing and stay once; a null source is a
+    source; rows alike in id and text are taken alike; whole texts of any length count;
+    columns may have any names; no rows give no rows.
     """
     _, cuts, n = mix_plan(docs, weights, share, most, seed)
     names = docs.columns

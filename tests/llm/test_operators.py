@@ -3,10 +3,12 @@
 import hashlib
 import math
 import os
+import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -587,6 +589,65 @@ def test_lm_keeps_rare_grams_of_a_large_corpus(spark):
 
 
 
+def plain_losses(corpora, texts, words):
+    """Summed losses of texts under an interpolated Kneser-Ney model of order 4 for each corpus, and their tokens, by plain counting.
+
+    ``words`` splits a text into its runs; a token is a character or a run's end, and its
+    context the (up to three) characters before it in the run.
+    """
+
+    def grams(text):
+        return [tuple(("\0\0\0" + w + "\0")[i : i + 4]) for w in words(text) for i in range(len(w) + 1)]
+
+    levels = [[Counter(g for t in c for g in grams(t)) for c in corpora]]
+    for _ in range(3):
+        levels.insert(0, [Counter(g[1:] for g in n) for n in levels[0]])
+    kinds = max(1, len(set().union(*levels[0])))
+
+    def p(model, gram):
+        below = 1.0 / (kinds + 1) if len(gram) == 1 else p(model, gram[1:])
+        n = levels[len(gram) - 1][model]
+        follow = [k for g, k in n.items() if g[:-1] == gram[:-1]]
+        ones, twos = sum(k == 1 for k in n.values()), sum(k == 2 for k in n.values())
+        d = min(max((ones + 0.5) / (ones + 2 * twos + 1), 0.05), 0.95)
+        return below if not follow else max(n[gram] - d, 0) / sum(follow) + d * len(follow) / sum(follow) * below
+
+    return [([-sum(math.log(p(m, g)) for g in grams(t)) for m in range(len(corpora))], len(grams(t))) for t in texts]
+
+
+def test_lm_equals_plain_counting(spark):
+    rng = random.Random(3)
+    text = lambda letters: " ".join("".join(rng.choices(letters, k=rng.randint(1, 5))) for _ in range(rng.randint(0, 6)))
+    rows = [(i, text("abcé"[: 2 + i % 3]), "", "s") for i in range(24)] + [(30, None, "", "s"), (31, " \t\n", "", "s"), (2, "ab  ba\nab", "", "s")]
+    docs = docs_of(spark, rows).selectExpr("*", "'x' part", "1 block", "2 gram", "'y' target_id", "3 background", "4 n_tokens")
+    labels = [(i, i % 2) for i in range(20)] + [(1, 0), (None, 1), (99, 1)]
+    got = lm_scoring.score_documents(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    good = {i for i, q in labels if q == 1}
+    texts = [r[1] or "" for r in rows]
+    expected = plain_losses([[r[1] or "" for r in rows if r[0] in good], texts], texts, str.split)
+    mine = sorted((r["doc_id"], r["n_tokens"], r["loss_target"] if r["n_tokens"] else -1.0, r["loss_background"] if r["n_tokens"] else -1.0) for r in got)
+    want = sorted((r[0], n, *(x / n if n else -1.0 for x in losses)) for r, (losses, n) in zip(rows, expected))
+    assert [m[:2] for m in mine] == [w[:2] for w in want] and np.allclose([m[2:] for m in mine], [w[2:] for w in want], rtol=1e-4)
+
+
+def test_lm_without_a_target(spark):
+    got = lm_scoring.score_documents(docs_of(spark, [(1, "ab", "", "s"), (2, "b", "", "s")]), spark.createDataFrame([(1, 0)], "doc_id long, quality int")).collect()
+    assert [round(r["loss_target"], 4) for r in got] == [round(math.log(4), 4)] * 2  # two letters and the end of a run
+
+
+def test_language_model_equals_plain_counting(spark):
+    rng = random.Random(5)
+    text = lambda letters: " ".join("".join(rng.choices(letters, k=rng.randint(1, 6))) for _ in range(rng.randint(1, 6)))
+    corpora = {"xx": [text("abß") for _ in range(12)], "yy": [text("bÉd") for _ in range(12)]}
+    rows = [(i, t, k, "s") for k in corpora for i, t in enumerate(corpora[k])]
+    model = language_id.train(docs_of(spark, rows), F.lit(True), 100, 2).model
+    asked = ["ab bd", "Bad-é7ß", "", "12 !", *corpora["xx"][:3], *corpora["yy"][:3]]
+    total, n = language_id.losses(model, pa.array(asked))
+    for (want, _), got in zip(plain_losses([corpora["xx"], corpora["yy"]], asked, lambda t: re.findall(r"[^\W\d_]+", t.lower())), total):
+        assert np.allclose(got, want, rtol=1e-4, atol=1e-6)
+    assert [bool(k) for k in n] == [True, True, False, False] + [True] * 6
+
+
 # --- chat and tokens ----------------------------------------------------------------------------
 
 
