@@ -49,8 +49,9 @@ def _scores(pattern: pd.Series, text: pd.Series) -> pd.Series:
 def _matched(texts: DataFrame, queries: DataFrame, column: str) -> DataFrame:
     """Every query against every text: ``queries`` is a stated set, sent to each block of texts, a block of queries at a time. Texts without the first letters' characters never reach Python."""
     ship(queries.sparkSession)
-    asked = queries.select("qid", "text", F.split(F.lower("text"), "").alias("letters"))
-    has_letters = F.forall("letters", lambda c: F.contains(F.lower(texts[column]), c))
+    asked = queries.select("qid", "text", F.array_distinct(F.split(F.lower("text"), "")).alias("letters"))
+    texts = texts.withColumn("low", F.lower(column))
+    has_letters = F.forall("letters", lambda c: F.contains(F.col("low"), c))
     pairs = reduce(DataFrame.unionByName, [texts.join(F.broadcast(block), has_letters) for block in blocks(asked)])
     return pairs.withColumn("fuzzy", F.pandas_udf(_scores, "int")("text", column)).filter(F.col("fuzzy").isNotNull())
 
