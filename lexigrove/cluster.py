@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: A table of at most so many bytes, by Spark's estimate, may be dealt out anew; bytes that are worth a task of their own.
-SPREAD_BYTES, TASK_BYTES = 256 << 20, 32 << 10
+#: A table of at most so many bytes a core, by Spark's estimate, may be dealt out anew (a split of a file has as many); bytes that are worth a task of their own, and bytes of a task at most.
+SPREAD_BYTES, TASK_BYTES, MOST_BYTES = 128 << 20, 32 << 10, 32 << 20
 
 _shipped: set[str] = set()
 
@@ -29,12 +30,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal out a small table over the cores. Its file may be one row group, and so one task, however hard the work on each row.
+    """Deal out a table over the cores. Its file may be one row group, and so one task, however hard the work on each row.
 
     Tables beyond the bound, or of unknown size, have splits enough and stay where they are.
     """
     if df.isStreaming:
         return df
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    tasks = min(df.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
-    return df.repartition(tasks) if size <= SPREAD_BYTES and tasks > 1 else df
+    plan, cores = df._jdf.queryExecution().optimizedPlan(), df.sparkSession.sparkContext.defaultParallelism
+    if re.search(r"RepartitionByExpression|Repartition \d+, true", str(plan.toString())):  # dealt out before
+        return df
+    size = int(str(plan.stats().sizeInBytes()))
+    tasks = max(min(cores, -(-size // TASK_BYTES)), size // MOST_BYTES)
+    return df.repartition(tasks) if size <= SPREAD_BYTES * cores and tasks > 1 else df
