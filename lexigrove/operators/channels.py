@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrove.functions import text as X
-from lexigrove.operators.corpus import FIELDS, Corpus
+from lexigrove.operators.corpus import FIELDS, Corpus, idf
 from lexigrove.operators.platforms import eligible
 from lexigrove.options import Bm25, Options
 
 #: Rows of the query side that may be broadcast.
 QUERY_ROWS = 200_000
+#: Terms or hashes that may stand in a plan as a constant set.
+CONSTANTS = 20_000
 GRAM_LEAST, VECTOR_LEAST, TFIDF_LEAST = 0.12, 0.1, 0.01
 
 
@@ -68,6 +70,40 @@ def bm25_scores(corpus: Corpus, terms: DataFrame, options: Options, n_terms: int
     return hits.groupBy("qid", "doc_id").agg(F.sum(F.col("factor") * bm25f(corpus.totals, options.bm25)).alias("score"))
 
 
+def text_bm25(docs: DataFrame, queries: DataFrame, most: int) -> DataFrame:
+    """(qid, rank, doc_id, score): plain BM25 of queries (qid, text) over whole texts (doc_id, text), the ``most`` best of each query.
+
+    A text moves once, as 64-bit hashes of those of its terms that are asked for, and lies
+    with its doc_id from then on: terms are counted, scores summed and the best chosen where
+    they are, and only the best of each part move again.
+    """
+    q = queries.select("qid", F.explode(X.terms(F.col("text"))).alias("term"))
+    q = q.sparkSession.createDataFrame(q.toArrow(), q.schema) if queries.count() <= CONSTANTS else q.persist()
+    asked = q.select("term").distinct().persist()
+    n_asked, salt = asked.count(), 0
+    hashed = lambda t: F.xxhash64(t, F.lit(salt))
+    while asked.select(hashed(F.col("term"))).distinct().count() < n_asked:  # two terms with one hash
+        salt += 1
+    worded = docs.select("doc_id", X.terms(F.coalesce("text", F.lit(""))).alias("t"))
+    if 0 < n_asked <= CONSTANTS:  # terms have letters and digits only
+        listed = ", ".join(f"'{r[0]}'" for r in asked.collect())
+        worded = worded.select("doc_id", F.size("t").alias("dl"), F.expr(f"filter(t, x -> x IN ({listed}))").alias("t"))
+    else:
+        worded = worded.select("doc_id", F.size("t").alias("dl"), "t")
+    kept = worded.select("doc_id", "dl", F.transform("t", hashed).alias("h")).repartition("doc_id").persist()
+    n, mean = kept.agg(F.count("*"), F.avg("dl")).first()
+    known = q.select("qid", hashed(F.col("term")).alias("h"))
+    rows = kept.select("doc_id", "dl", F.explode("h").alias("h"))
+    if n_asked > CONSTANTS:
+        rows = rows.join(bounded(known.select("h").distinct(), n_asked), "h", "left_semi")
+    tf = rows.groupBy("doc_id", "dl", "h").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("h").agg(F.count("*").alias("df"))
+    gain = idf(F.lit(n), F.col("df")) * field_bm25(F.col("tf"), F.col("dl"), mean, 1.0, 0.75, 1.2)
+    factors = known.join(df, "h").persist()
+    scores = tf.join(bounded(factors, factors.count()), "h").groupBy("qid", "doc_id").agg(F.sum(gain).alias("score"))
+    return top(scores, "score", most).select("qid", "rank", "doc_id", "score")
+
+
 def char_gram_scores(corpus: Corpus, queries: DataFrame, options: Options, n_queries: int) -> DataFrame:
     """Shared trigrams over the root of both counts; filtered, then capped at max(6 L, 12)."""
     grams = queries.select("qid", X.char_grams(F.col("text")).alias("g")).select("qid", F.size("g").alias("n_q"), F.explode("g").alias("gram"))

@@ -7,7 +7,7 @@ description, the words of the name the keywords. Query sets are literal, as a us
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexigrove import schema
@@ -58,7 +58,7 @@ def _queries(spark: SparkSession, rows=None) -> DataFrame:
 def part_records(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_size") % 4
     platform = F.when(k == 0, "linux").when(k == 1, "macos").when(k == 2, "windows").otherwise("cross-platform")
-    df = _t(spark, d, "part").select(
+    df = spread(_t(spark, d, "part")).select(
         F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("command"), F.concat_ws(" ", "p_type", "p_brand").alias("description"), F.split("p_name", " ").alias("keywords"),
         F.array(F.lower("p_type")).alias("tags"), F.col("p_type").alias("niche"), F.array(platform).alias("platform"), (F.col("p_size") % 3 == 0).alias("pipeline"),
     )
@@ -304,16 +304,8 @@ def min_idf(spark, d):
     f"s AS (SELECT qid, doc_id, sum({S.IDF} * (tf * 2.2::DOUBLE) / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * dl / av))) AS score FROM q JOIN tf USING (term) JOIN df USING (term) JOIN lens USING (doc_id), tot GROUP BY ALL)",
 ], _TOP.format("s", 10)))
 def bm25_topk(spark, d):
-    """BM25 over whole documents. One pass tokenises; rows of terms that no query has are dropped before they move."""
-    docs = _docs(spark, d).select("doc_id", X.terms(F.coalesce("text", F.lit(""))).alias("t")).persist()
-    n, mean = docs.agg(F.count("*"), F.avg(F.size("t"))).first()
-    q = _queries(spark, DOC_QUERIES).select("qid", F.explode(X.terms(F.col("text"))).alias("term"))
-    asked = F.broadcast(q.select("term").distinct())
-    tf = docs.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(asked, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    gain = C.idf(F.lit(n), F.col("df")) * channels.field_bm25(F.col("tf"), F.col("dl"), mean, 1.0, 0.75, 1.2)
-    scores = tf.join(F.broadcast(q.join(df, "term")), "term").groupBy("qid", "doc_id").agg(F.sum(gain).alias("score"))
-    return _ranked(scores)
+    """BM25 over whole documents."""
+    return _ranked(channels.text_bm25(_docs(spark, d).select("doc_id", "text"), _queries(spark, DOC_QUERIES), 10))
 
 
 @_register("char_ngram_topk", S.query([S.DOCS, S.TOKENS, S.STATS, S.queries(QUERY_SET), S.ELIGIBLE, S.char_scores(LIMIT)], "SELECT qid, doc_id, round(score, 6) AS score FROM chars"))
@@ -586,26 +578,32 @@ def _quotes(docs: DataFrame, items: DataFrame, most: int = 10) -> DataFrame:
     words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     runs = lambda w, k: F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.array_join(F.slice(w, i, k), " ")))
     sized = items.select("qid", words(F.col("text")).alias("w")).withColumn("k", F.least(F.size("w"), F.lit(most))).filter("k > 0")
-    lengths = sorted(r["k"] for r in sized.select("k").distinct().collect())  # ``most`` at most
-    own = sized.select("qid", F.explode(runs(F.col("w"), F.col("k"))).alias("run")).distinct()
+    own = sized.select("qid", "k", F.explode(runs(F.col("w"), F.col("k"))).alias("run")).distinct().persist()
+    n = own.count()
+    ends = lambda w, k: F.xxhash64(F.get(w, F.lit(0)), F.get(w, k - 1))
+    lengths = sorted(r["k"] for r in own.select("k").distinct().collect())  # ``most`` at most
+    if n <= channels.CONSTANTS:
+        heads: dict[int, list[int]] = {k: [] for k in lengths}
+        for k, h in own.select("k", ends(F.split("run", " "), F.col("k")).alias("h")).distinct().collect():
+            heads[k].append(h)
+
+    def held(k: int) -> Column:
+        """A text's runs of k words. Where the items' runs are few, only those whose first and last word are a run's become strings."""
+        if n > channels.CONSTANTS:
+            return F.coalesce(runs(F.col("w"), F.lit(k)), F.array().cast("array<string>"))
+        passed = f"filter(sequence(1, size(w) - {k - 1}), i -> xxhash64(get(w, i - 1), get(w, i + {k - 2})) IN ({', '.join(f'{h}L' for h in heads[k])}))"
+        return F.expr(f"CASE WHEN size(w) >= {k} THEN transform({passed}, i -> array_join(slice(w, i, {k}), ' ')) ELSE cast(array() AS array<string>) END")
+
     wordy = docs.select("doc_id", words(F.col("text")).alias("w"))
-    held = wordy.select("doc_id", F.explode(F.concat(*[F.coalesce(runs(F.col("w"), F.lit(k)), F.array().cast("array<string>")) for k in lengths or [most]])).alias("run"))
-    return held.join(channels.bounded(own, own.count()), "run").select("qid", "doc_id").distinct()
+    found = F.array_distinct(F.concat(*[held(k) for k in lengths])) if lengths else F.array().cast("array<string>")
+    return wordy.select("doc_id", F.explode(found).alias("run")).join(channels.bounded(own.select("qid", "run"), n), "run").select("qid", "doc_id").distinct()
 
 
 def _judged(spark, d, k: int = 5) -> DataFrame:
     """benchmark items as queries over documents; relevant: documents that quote ten words of the item in a row; slice: the item's id modulo 4. Items that no document quotes stay, with none relevant."""
     docs = _docs(spark, d).select("doc_id", "text")
     items = _t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text", F.concat(F.lit("s"), (F.col("item_id") % 4).cast("string")).alias("slice"))
-    toks = docs.select("doc_id", X.terms(F.coalesce("text", F.lit(""))).alias("t")).persist()
-    n, mean = toks.agg(F.count("*"), F.avg(F.size("t"))).first()
-    q = items.select("qid", F.explode(X.terms(F.col("text"))).alias("term"))
-    asked = q.select("term").distinct()
-    tf = toks.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(F.broadcast(asked), "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    gain = C.idf(F.lit(n), F.col("df")) * channels.field_bm25(F.col("tf"), F.col("dl"), mean, 1.0, 0.75, 1.2)
-    scores = tf.join(q.join(df, "term"), "term").groupBy("qid", "doc_id").agg(F.sum(gain).alias("score"))
-    best = channels.top(scores, "score", k).select("qid", "rank", "doc_id")
+    best = channels.text_bm25(docs, items.select("qid", "text"), k).select("qid", "rank", "doc_id")
     quotes = _quotes(docs, items.select("qid", "text")).persist()
     holds = best.join(quotes.withColumn("hit", F.lit(True)), ["qid", "doc_id"], "left").select("qid", "rank", F.coalesce("hit", F.lit(False)).alias("hit"))
     known = quotes.groupBy("qid").agg(F.count("*").cast("int").alias("n_relevant"))
