@@ -43,8 +43,11 @@ def terms(c: Column) -> Column:
     """Lower-case ASCII terms of two characters or more, without stop words.
 
     Whatever clean() drops or keeps between two terms separates them here, so one pass does.
+    The two letters that are not ASCII but have a small letter that begins with one go first;
+    a split at a class of two ranges is several times faster than a replacement, or than three.
     """
-    parts = F.split(F.lower(F.regexp_replace(c, "[^A-Za-z0-9]+", " ")), " ")
+    ascii_only = F.replace(F.replace(c, F.lit("\u212a"), F.lit(" ")), F.lit("\u0130"), F.lit(" "))
+    parts = F.split(F.lower(ascii_only), "[^a-z0-9]+")
     return F.filter(parts, lambda t: (F.length(t) >= 2) & ~is_stop_word(t))
 
 
@@ -76,9 +79,9 @@ def stem(c: Column) -> Column:
 
 def neighbours(tokens: Column) -> Column:
     """The adjacent pairs of an array, joined by ``_``."""
-    n = F.size(tokens)
-    pairs = F.zip_with(F.slice(tokens, F.lit(1), n - 1), F.slice(tokens, F.lit(2), n - 1), lambda a, b: F.concat_ws("_", a, b))
-    return F.when(n < 2, F.array().cast("array<string>")).otherwise(pairs)
+    # an array of one element, so that the tokens are made once
+    one = F.array(tokens)
+    return F.transform(one, lambda t: F.when(F.size(t) < 2, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(t) - 1), lambda i: F.concat(F.get(t, i - 1), F.lit("_"), F.get(t, i)))))[0]
 
 
 def with_bigrams(tokens: Column) -> Column:
@@ -104,11 +107,8 @@ def vector_terms(c: Column) -> Column:
 
 def char_grams(c: Column, n: int = 3) -> Column:
     """The different n-grams of characters, lower case, without spaces."""
-    # a text of one element, so that the lambda holds its characters and does not make them anew for each window
-    chars = F.array(F.split(F.replace(F.lower(c), F.lit(" "), F.lit("")), ""))
-    windows = F.transform(chars, lambda cs: F.transform(F.sequence(F.lit(1), F.size(cs) - (n - 1)), lambda i: F.array_join(F.slice(cs, i, F.lit(n)), "")))[0]
-    length = F.length(F.replace(F.lower(c), F.lit(" "), F.lit("")))
-    return F.when(length < n, F.array().cast("array<string>")).otherwise(F.array_distinct(windows))
+    text = F.replace(F.lower(c), F.lit(" "), F.lit(""))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=({'.' * n}))"), F.lit(1)))
 
 
 def token_variants(t: Column) -> Column:

@@ -342,3 +342,18 @@ def test_vectors_are_optional(spark, tmp_path):
     records_file.write_bytes(b"WTFE")
     assert vectors.attached(docs, "abc", str(words), str(records_file), 2)[1] is None
     assert vectors.attached(docs, "abc", str(tmp_path / "none.bin"), None, 2)[0] is None
+
+
+def test_larger_tables_are_dealt_out_once(spark, tmp_path):
+    """One file is one task, until its table is dealt out; a table beyond 32 MB a core has more tasks than cores."""
+    spark.range(300_000).selectExpr("id as p_partkey", "'small ring' as p_name", "'b' as p_brand", "'t' as p_type", "1 as p_size", "1d as p_retailprice").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    dealt = plans.part_records(spark, str(tmp_path))
+    assert dealt.rdd.getNumPartitions() > 1 and spread(dealt).rdd.getNumPartitions() == dealt.rdd.getNumPartitions()
+    assert spread(spark.range(64 << 20).coalesce(1)).rdd.getNumPartitions() == 16
+
+
+def test_terms_of_every_letter(spark):
+    """terms() cuts before letters become small, whatever the letter."""
+    every = spark.range(1, 0x3000).selectExpr("concat('ab', decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32'), 'Cd') as c")
+    plain = F.filter(F.split(F.lower(F.regexp_replace("c", "[^A-Za-z0-9]+", " ")), " "), lambda t: (F.length(t) >= 2) & ~X.is_stop_word(t))
+    assert every.filter(~plain.eqNullSafe(X.terms(F.col("c")))).count() == 0
