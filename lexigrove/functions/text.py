@@ -91,8 +91,13 @@ def with_bigrams(tokens: Column) -> Column:
 
 def weighted_terms(c: Column) -> Column:
     """T4: stemmed terms of all alphabets (two bytes or more, stop words tested on the stem), then their adjacent pairs."""
+    return with_bigrams(single_weighted_terms(c))
+
+
+def single_weighted_terms(c: Column) -> Column:
+    """weighted_terms() without the pairs."""
     stems = F.transform(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), stem)
-    return with_bigrams(F.filter(stems, is_weighted_term))
+    return F.filter(stems, is_weighted_term)
 
 
 def is_weighted_term(t: Column) -> Column:

@@ -343,8 +343,7 @@ def tfidf_vocab_stats(spark, d):
 ], "SELECT term, count(*) AS df, round(ln((1.0::DOUBLE + any_value(n)) / (1.0::DOUBLE + count(*))) + 1.0::DOUBLE, 6) AS idf FROM t, n GROUP BY term HAVING count(*) <= greatest(1, any_value(n) * 8 // 10)"))
 def doc_tfidf_vocabulary(spark, d):
     docs = _docs(spark, d)
-    single = F.filter(X.weighted_terms(F.col("text")), lambda t: ~F.contains(t, F.lit("_")))
-    tf = docs.select("doc_id", F.explode(F.array_distinct(single)).alias("term"))
+    tf = docs.select("doc_id", F.explode(F.array_distinct(X.single_weighted_terms(F.col("text")))).alias("term"))
     return C.tfidf_vocabulary(tf, docs.count()).select("term", "df", R("idf"))
 
 
