@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: A table of at most so many bytes a core, by Spark's estimate, may be dealt out anew (a split of a file has as many); bytes that are worth a task of their own, and bytes of a task at most.
 SPREAD_BYTES, TASK_BYTES, MOST_BYTES = 128 << 20, 32 << 10, 32 << 20
+#: Packed bytes of a task of a table that is dealt by key, up to eight tasks a core; sizes from UNKNOWN on are no estimates.
+KEYED_BYTES, UNKNOWN = 1 << 20, 1 << 60
 
 _shipped: set[str] = set()
 
@@ -42,3 +44,12 @@ def spread(df: DataFrame) -> DataFrame:
     size = int(str(plan.stats().sizeInBytes()))
     tasks = max(min(cores, -(-size // TASK_BYTES)), size // MOST_BYTES)
     return df.repartition(tasks) if size <= SPREAD_BYTES * cores and tasks > 1 else df
+
+
+def dealt_by(df: DataFrame, key: str) -> DataFrame:
+    """Deal out a table over the cores by a hash of its key, so that whatever is made of its rows and grouped or joined by the key stays where it is."""
+    if df.isStreaming or f"hashpartitioning({key}#" in str(df._jdf.queryExecution().sparkPlan().outputPartitioning().toString()):  # dealt out before
+        return df
+    cores, size = df.sparkSession.sparkContext.defaultParallelism, int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    tasks = max(min(cores, -(-size // TASK_BYTES)), min(8 * cores, size // KEYED_BYTES), size // MOST_BYTES) if size < UNKNOWN else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, key)

@@ -86,7 +86,8 @@ def neighbours(tokens: Column) -> Column:
 
 def with_bigrams(tokens: Column) -> Column:
     """The tokens, then their adjacent pairs."""
-    return F.concat(tokens, neighbours(tokens))
+    # an array of one element, so that the tokens are made once
+    return F.transform(F.array(tokens), lambda t: F.concat(t, neighbours(t)))[0]
 
 
 def weighted_terms(c: Column) -> Column:

@@ -61,13 +61,18 @@ def eligible_docs(corpus: Corpus, options: Options) -> DataFrame:
     return corpus.docs.filter(eligible(options)).select("doc_id")
 
 
+def only_eligible(rows: DataFrame, corpus: Corpus, options: Options) -> DataFrame:
+    """The rows of eligible records; no join where every record is one."""
+    if options.all_platforms and not options.pipeline_only:
+        return rows
+    return rows.join(eligible_docs(corpus, options), "doc_id", "left_semi")
+
+
 def bm25_scores(corpus: Corpus, terms: DataFrame, options: Options, n_terms: int) -> DataFrame:
     """A query's duplicate terms count each. ``terms``: weighted_query_terms() of ``n_terms`` rows."""
     asked = terms.filter(F.col("df").isNotNull() & (F.col("idf") >= options.bm25.min_idf)).select("qid", "term", (F.col("idf") * F.col("boost")).alias("factor"))
     hits = corpus.postings.join(bounded(asked, n_terms), "term").join(corpus.stats, "doc_id")
-    if not options.all_platforms or options.pipeline_only:
-        hits = hits.join(eligible_docs(corpus, options), "doc_id", "left_semi")
-    return hits.groupBy("qid", "doc_id").agg(F.sum(F.col("factor") * bm25f(corpus.totals, options.bm25)).alias("score"))
+    return only_eligible(hits, corpus, options).groupBy("qid", "doc_id").agg(F.sum(F.col("factor") * bm25f(corpus.totals, options.bm25)).alias("score"))
 
 
 def text_bm25(docs: DataFrame, queries: DataFrame, most: int) -> DataFrame:
@@ -110,7 +115,7 @@ def char_gram_scores(corpus: Corpus, queries: DataFrame, options: Options, n_que
     shared = corpus.grams.join(bounded(grams, n_queries * 100), "gram").groupBy("qid", "n_q", "doc_id").agg(F.count("*").alias("common"))
     scored = shared.join(corpus.stats.select("doc_id", "n_grams"), "doc_id").filter("n_grams > 0")
     scored = scored.withColumn("sim", F.col("common") / (F.sqrt(F.col("n_q").cast("double")) * F.sqrt(F.col("n_grams").cast("double")))).filter(F.col("sim") >= GRAM_LEAST)
-    scored = scored.join(eligible_docs(corpus, options), "doc_id", "left_semi")
+    scored = only_eligible(scored, corpus, options)
     return top(scored, "sim", max(6 * options.limit, 12)).select("qid", "doc_id", (F.col("sim") * 55.0).alias("score"))
 
 
@@ -140,7 +145,7 @@ def nlp_search(corpus: Corpus, queries: DataFrame, n_queries: int, limit: int) -
 def tfidf_scores(corpus: Corpus, sims: DataFrame, options: Options) -> DataFrame:
     """Capped at max(6 L, 15) first, filtered after."""
     capped = sims.filter(F.col("rank") <= max(6 * options.limit, 15))
-    return capped.join(eligible_docs(corpus, options), "doc_id", "left_semi").select("qid", "doc_id", (F.col("sim") * 100.0).alias("score"))
+    return only_eligible(capped, corpus, options).select("qid", "doc_id", (F.col("sim") * 100.0).alias("score"))
 
 
 def vector_scores(corpus: Corpus, sims: DataFrame, options: Options) -> DataFrame:

@@ -14,12 +14,14 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrove.cluster import spread
+from lexigrove.cluster import dealt_by
 from lexigrove.functions import text as X
 from lexigrove.schema import records
 from lexigrove.sources.records import appended
 
 FIELDS = ("cmd", "desc", "keys", "tags")
+#: Rows of a vocabulary that may be broadcast.
+VOCABULARY_ROWS = 500_000
 
 
 def field_tokens(docs: DataFrame) -> DataFrame:
@@ -103,20 +105,25 @@ def doc_bases(docs: DataFrame) -> DataFrame:
 def family_counts(docs: DataFrame, tokens: DataFrame) -> DataFrame:
     """A3: (token, base, c): in how many records of the family the token occurs; pairs of neighbours do not count."""
     every = F.array_distinct(F.filter(F.concat(*FIELDS), lambda t: ~F.contains(t, F.lit("_"))))
-    rows = tokens.select("doc_id", F.explode(every).alias("token")).join(doc_bases(docs), "doc_id")
+    rows = tokens.select("doc_id", every.alias("every")).join(doc_bases(docs), "doc_id").select("base", F.explode("every").alias("token"))
     return rows.groupBy("token", "base").agg(F.count("*").alias("c"))
 
 
 @dataclass
 class Corpus:
-    """Records and their tables. Tables are built on first use and kept by Spark (memory, then disk)."""
+    """Records and their tables. Tables are built on first use and kept by Spark (memory, then disk).
+
+    The records are dealt out by doc_id and sorted by it once; the tables are made of them
+    and lie with them, so that joins and groups by doc_id move nothing.
+    """
 
     docs: DataFrame
 
     @classmethod
     def of(cls, df: DataFrame, *, keep: bool = True) -> Corpus:
         """S3: from any DataFrame that has doc_id and some of the record columns."""
-        docs = spread(records(df))
+        docs = dealt_by(records(df), "doc_id")
+        docs = docs if docs.isStreaming else docs.sortWithinPartitions("doc_id")
         return cls(docs.persist(StorageLevel.MEMORY_AND_DISK) if keep else docs)
 
     def _kept(self, df: DataFrame) -> DataFrame:
@@ -161,7 +168,8 @@ class Corpus:
 
     @cached_property
     def weights(self) -> DataFrame:
-        return self._kept(tfidf_weights(self.tf, self.vocabulary))
+        words = self.vocabulary
+        return self._kept(tfidf_weights(self.tf, F.broadcast(words) if words.count() <= VOCABULARY_ROWS else words))
 
     @cached_property
     def norms(self) -> DataFrame:

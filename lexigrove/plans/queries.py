@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexigrove import schema
-from lexigrove.cluster import spread
+from lexigrove.cluster import dealt_by, spread
 from lexigrove.functions import sanitize
 from lexigrove.functions import text as X
 from lexigrove.functions import vectors as V
@@ -55,10 +55,12 @@ def _queries(spark: SparkSession, rows=None) -> DataFrame:
     return spark.createDataFrame(pa.table({"qid": pa.array(qid, pa.int64()), "text": pa.array(text, pa.string())}))
 
 
-def part_records(spark: SparkSession, d: str) -> DataFrame:
+def part_records(spark: SparkSession, d: str, keyed: bool = False) -> DataFrame:
+    """part as records; ``keyed``: dealt out by key, for a corpus."""
     k = F.col("p_size") % 4
     platform = F.when(k == 0, "linux").when(k == 1, "macos").when(k == 2, "windows").otherwise("cross-platform")
-    df = spread(_t(spark, d, "part")).select(
+    part = _t(spark, d, "part")
+    df = (dealt_by(part, "p_partkey") if keyed else spread(part)).select(
         F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("command"), F.concat_ws(" ", "p_type", "p_brand").alias("description"), F.split("p_name", " ").alias("keywords"),
         F.array(F.lower("p_type")).alias("tags"), F.col("p_type").alias("niche"), F.array(platform).alias("platform"), (F.col("p_size") % 3 == 0).alias("pipeline"),
     )
@@ -70,7 +72,7 @@ def document_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _corpus(spark: SparkSession, d: str) -> C.Corpus:
-    return C.Corpus.of(part_records(spark, d))
+    return C.Corpus.of(part_records(spark, d, keyed=True))
 
 
 def _search(spark: SparkSession, d: str, options: Options = OPEN) -> Search:
@@ -361,9 +363,9 @@ def hybrid_fusion_topk(spark, d):
 _FEATURED = [*_OPEN_HYBRID, S.FAMILIES, S.COVERAGE, S.PROXIMITY, S.FEATURES]
 
 
-def _featured(spark, d) -> DataFrame:
+def _featured(spark, d, *names: str) -> DataFrame:
     s = _search(spark, d)
-    return s.featured(s.candidates())
+    return s.featured(s.candidates(), names)
 
 
 def _feature(name: str, *columns: str) -> None:
@@ -371,7 +373,7 @@ def _feature(name: str, *columns: str) -> None:
 
     @_register(name, S.query(_FEATURED, f"SELECT qid, doc_id, {picked} FROM scored"))
     def run(spark, d):
-        return _featured(spark, d).select("qid", "doc_id", *[R(c) for c in columns])
+        return _featured(spark, d, *columns).select("qid", "doc_id", *[R(c) for c in columns])
 
 
 _feature("coverage_boost", "coverage")
@@ -383,7 +385,7 @@ _feature("long_intent_boost", "long_intent")
 
 @_register("feature_scores", S.query(_FEATURED, "SELECT qid, doc_id, round(raw, 6) AS raw, round(family, 6) AS family, round(score, 4) AS score FROM scored"))
 def feature_scores(spark, d):
-    return _featured(spark, d).select("qid", "doc_id", R("raw"), R("family"), R("score", 4))
+    return _featured(spark, d, "score").select("qid", "doc_id", R("raw"), R("family"), R("score", 4))
 
 
 @_register("family_prior", S.query([*_QT, S.FAMILIES], "SELECT qid, base, place::INTEGER AS place, round(family, 6) AS family FROM family_scores"))

@@ -158,3 +158,23 @@ def test_quotes_at_any_place_of_an_item(spark):
     docs = [(1, "x " + " ".join(f"W{i}" for i in range(20, 30))), (2, " ".join(f"w{i}" for i in range(9))), (3, "say two, words!"), (4, None), (5, ""), (6, item), (7, "two other words")]
     found = {tuple(r) for r in _quotes(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
     assert found == {(1, 1), (2, 3), (1, 6)}
+
+
+def test_tables_of_a_corpus_lie_with_their_records(spark):
+    """Records move once, by doc_id; postings, lengths, shares and norms, made by doc_id, do not move again."""
+    rows = spark.range(0, 4000, 1, 1).selectExpr("id as doc_id", "concat('red ring part', id % 7) as command", "'small gear of a kind' as description", "array('ring', 'gear') as keywords")
+    c = Corpus.of(rows)
+    assert c.docs.count() == 4000 and c.docs.rdd.getNumPartitions() > 1
+    for table in (c.postings, c.stats, c.tf, c.norms):
+        table.count()
+        lies = table.select("*")._jdf.queryExecution().sparkPlan().outputPartitioning().toString()
+        assert lies.startswith("hashpartitioning(doc_id#"), lies
+
+
+def test_a_feature_alone_is_the_same_and_makes_no_families(spark, corpus):
+    s = Search(corpus, ask(spark, "find files by name", "show status"), Options(limit=5))
+    found = s.candidates()
+    alone = s.featured(found, ("proximity",)).select("qid", "doc_id", "proximity")
+    near = sorted(alone.collect())
+    assert s._families is None and "family" not in corpus.__dict__
+    assert near == sorted(s.featured(found).select("qid", "doc_id", "proximity").collect()) and len(near) > 0
