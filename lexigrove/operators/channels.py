@@ -36,9 +36,9 @@ def blocks(queries: DataFrame) -> list[DataFrame]:
     return [queries.filter(dealt == i) for i in range(parts)]
 
 
-def top(df: DataFrame, by: str, k: int | Column, name: str = "rank") -> DataFrame:
-    """The k best rows of each query by the rounded score, ties to the smaller doc_id."""
-    w = Window.partitionBy("qid").orderBy(F.round(by, 6).desc(), "doc_id")
+def top(df: DataFrame, by: str, k: int | Column, name: str = "rank", keys: tuple[str, ...] = ("qid",)) -> DataFrame:
+    """The k best rows of each query (or of each of ``keys``) by the rounded score, ties to the smaller doc_id."""
+    w = Window.partitionBy(*keys).orderBy(F.round(by, 6).desc(), "doc_id")
     return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= k)
 
 
@@ -68,11 +68,18 @@ def only_eligible(rows: DataFrame, corpus: Corpus, options: Options) -> DataFram
     return rows.join(eligible_docs(corpus, options), "doc_id", "left_semi")
 
 
-def bm25_scores(corpus: Corpus, terms: DataFrame, options: Options, n_terms: int) -> DataFrame:
-    """A query's duplicate terms count each. ``terms``: weighted_query_terms() of ``n_terms`` rows."""
-    asked = terms.filter(F.col("df").isNotNull() & (F.col("idf") >= options.bm25.min_idf)).select("qid", "term", (F.col("idf") * F.col("boost")).alias("factor"))
+def bm25_scores(corpus: Corpus, terms: DataFrame, options: Options, n_terms: int, params: list[Bm25] | None = None) -> DataFrame:
+    """A query's duplicate terms count each. ``terms``: weighted_query_terms() of ``n_terms`` rows.
+
+    ``params``: parameter sets to score with in one pass, in place of the options': columns score_0, score_1 and so on;
+    null where a record has none of the query's terms of the set's least idf.
+    """
+    sets = {"score": options.bm25} if params is None else {f"score_{i}": p for i, p in enumerate(params)}
+    least = min(p.min_idf for p in sets.values())
+    asked = terms.filter(F.col("df").isNotNull() & (F.col("idf") >= least)).select("qid", "term", "idf", (F.col("idf") * F.col("boost")).alias("factor"))
+    counts = lambda p, gain: gain if p.min_idf == least else F.when(F.col("idf") >= p.min_idf, gain)
     hits = corpus.postings.join(bounded(asked, n_terms), "term").join(corpus.stats, "doc_id")
-    return only_eligible(hits, corpus, options).groupBy("qid", "doc_id").agg(F.sum(F.col("factor") * bm25f(corpus.totals, options.bm25)).alias("score"))
+    return only_eligible(hits, corpus, options).groupBy("qid", "doc_id").agg(*[F.sum(counts(p, F.col("factor") * bm25f(corpus.totals, p))).alias(name) for name, p in sets.items()])
 
 
 def text_bm25(docs: DataFrame, queries: DataFrame, most: int) -> DataFrame:
@@ -155,14 +162,22 @@ def vector_scores(corpus: Corpus, sims: DataFrame, options: Options) -> DataFram
 
 
 def fused(bm25: DataFrame, chars: DataFrame | None, vectors: DataFrame | None, tfidf: DataFrame | None) -> DataFrame:
-    """A channel adds less to a record that an earlier channel has found than to a new one."""
-    parts = [df.select("qid", "doc_id", "score", F.lit(name).alias("channel")) for name, df in (("bm25", bm25), ("chars", chars), ("vectors", vectors), ("tfidf", tfidf)) if df is not None]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    one = lambda c: F.max(F.when(F.col("channel") == c, F.col("score"))).alias(c)
-    wide = rows.groupBy("qid", "doc_id").agg(*[one(c) for c in ("bm25", "chars", "vectors", "tfidf")])
-    has = {c: F.col(c).isNotNull() for c in ("bm25", "chars", "vectors")}
+    """A channel adds less to a record that an earlier channel has found than to a new one.
+
+    Each score column of ``bm25`` gives one of the same name; null where no channel has found the record with that column's parameters.
+    """
+    names = [c for c in bm25.columns if c not in ("qid", "doc_id")]
+    others = {name: df for name, df in (("chars", chars), ("vectors", vectors), ("tfidf", tfidf)) if df is not None}
+    columns = [*names, "chars", "vectors", "tfidf"]
+    rows = bm25.select("qid", "doc_id", *names, *[F.lit(None).cast("double").alias(c) for c in columns[len(names) :]])
+    for name, df in others.items():
+        rows = rows.unionByName(df.select("qid", "doc_id", *[(F.col("score") if c == name else F.lit(None).cast("double")).alias(c) for c in columns]))
+    wide = rows.groupBy("qid", "doc_id").agg(*[F.max(c).alias(c) for c in columns])
     worth = lambda c, found, again, new: F.coalesce(F.col(c) * F.when(found, again).otherwise(new), F.lit(0.0))
-    total = F.coalesce("bm25", F.lit(0.0)) + worth("chars", has["bm25"], 0.35, 0.80) + worth("vectors", has["bm25"] | has["chars"], 0.35, 0.55) + worth("tfidf", has["bm25"] | has["chars"] | has["vectors"], 0.45, 0.65)
-    return wide.select("qid", "doc_id", total.alias("score"))
+
+    def total(name: str) -> Column:
+        has = {c: F.col(c).isNotNull() for c in columns}
+        sum_ = F.coalesce(name, F.lit(0.0)) + worth("chars", has[name], 0.35, 0.80) + worth("vectors", has[name] | has["chars"], 0.35, 0.55) + worth("tfidf", has[name] | has["chars"] | has["vectors"], 0.45, 0.65)
+        return F.when(has[name] | has["chars"] | has["vectors"] | has["tfidf"], sum_).alias(name)
+
+    return wide.select("qid", "doc_id", *[total(name) for name in names])

@@ -8,9 +8,13 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexigrove.operators.search import search
+from lexigrove.operators.channels import bounded
+from lexigrove.operators.search import Search, search
 from lexigrove.options import Bm25, Options
 
+#: Parameter sets that one pass over the records scores.
+PASS = 16
+
 
 def is_relevant(command: Column, relevant: Column, boundary: bool = False) -> Column:
     """A prefix, word boundary or not, or equal leading words; J12 (``boundary``): equal, or a prefix followed by a space."""
@@ -27,11 +31,17 @@ def is_relevant(command: Column, relevant: Column, boundary: bool = False) -> Co
     return F.exists(relevant, one)
 
 
-def judged(results: DataFrame, judgements: DataFrame, boundary: bool = False) -> DataFrame:
-    """(qid, slice, n_relevant, rank, hit): results (qid, rank, command) with their judgement; queries without results keep one row of nulls."""
+def judged(results: DataFrame, judgements: DataFrame, boundary: bool = False, configs: list[int] | None = None) -> DataFrame:
+    """(qid, slice, n_relevant, rank, hit): results (qid, rank, command) with their judgement; queries without results keep one row of nulls.
+
+    ``configs``: the parameter sets of results that have a column config; every set keeps every query.
+    """
+    sets = ["config"] if configs is not None else []
     j = judgements.select("qid", F.when(F.trim(F.coalesce("slice", F.lit(""))) == "", "unspecified").otherwise(F.trim("slice")).alias("slice"), "relevant")
-    rows = j.join(results.select("qid", "rank", "command"), "qid", "left")
-    return rows.select("qid", "slice", F.size("relevant").alias("n_relevant"), "rank", is_relevant(F.col("command"), F.col("relevant"), boundary).alias("hit"))
+    if sets:
+        j = j.withColumn("config", F.explode(F.array(*[F.lit(c) for c in configs])))
+    rows = j.join(results.select(*sets, "qid", "rank", "command"), [*sets, "qid"], "left")
+    return rows.select(*sets, "qid", "slice", F.size("relevant").alias("n_relevant"), "rank", is_relevant(F.col("command"), F.col("relevant"), boundary).alias("hit"))
 
 
 def per_query(rows: DataFrame, k: int = 3) -> DataFrame:
@@ -43,19 +53,24 @@ def per_query(rows: DataFrame, k: int = 3) -> DataFrame:
     hit = F.coalesce("hit", F.lit(False))
     first = F.coalesce(F.min(F.when(hit, F.col("rank"))), F.lit(0))
     gain = F.sum(F.when(hit & (F.col("rank") <= k), 1.0 / F.log2(F.col("rank") + 1.0)).otherwise(0.0))
-    g = rows.groupBy("qid", "slice", "n_relevant").agg(first.alias("first"), gain.alias("dcg"))
+    sets = ["config"] if "config" in rows.columns else []
+    g = rows.groupBy(*sets, "qid", "slice", "n_relevant").agg(first.alias("first"), gain.alias("dcg"))
     best = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(F.lit(k), F.col("n_relevant")), F.lit(1))), F.lit(0.0), lambda a, i: a + 1.0 / F.log2(i + 1.0))
     ndcg = F.when(F.col("n_relevant") > 0, F.col("dcg") / best).otherwise(0.0)
     found = F.col("first") > 0
     return g.select(
-        "qid", "slice", "first", F.when(found, 1.0 / F.col("first")).otherwise(0.0).alias("rr"), (F.col("first") == 1).cast("double").alias("top1"), (found & (F.col("first") <= k)).cast("double").alias("hit"),
+        *sets, "qid", "slice", "first", F.when(found, 1.0 / F.col("first")).otherwise(0.0).alias("rr"), (F.col("first") == 1).cast("double").alias("top1"), (found & (F.col("first") <= k)).cast("double").alias("hit"),
         ndcg.alias("ndcg_ref"), F.least(ndcg, F.lit(1.0)).alias("ndcg"),
     )
 
 
+def _means() -> list[Column]:
+    return [F.count("*").alias("n"), *[F.avg(m).alias(m) for m in ("top1", "hit", "rr", "ndcg_ref", "ndcg")]]
+
+
 def summarised(queries: DataFrame) -> DataFrame:
     """Means by slice, and over all with slice ``(all)``."""
-    g = queries.rollup("slice").agg(F.count("*").alias("n"), *[F.avg(m).alias(m) for m in ("top1", "hit", "rr", "ndcg_ref", "ndcg")])
+    g = queries.rollup("slice").agg(*_means())
     return g.select(F.coalesce("slice", F.lit("(all)")).alias("slice"), "n", "top1", "hit", F.col("rr").alias("mrr"), "ndcg_ref", "ndcg")
 
 
@@ -96,11 +111,28 @@ def evaluate(corpus, queries: DataFrame, options: Options | None = None, k: int
 
 
 def sweep(corpus, queries: DataFrame, configs: list[Options], k: int = 3, boundary: bool = True) -> DataFrame:
-    """One summary row per parameter set, best first (NDCG, hit, top1). The corpus tables are shared by all sets."""
-    out = None
+    """One summary row per parameter set, best first (NDCG, hit, top1).
+
+    Sets that differ in BM25 only share one search, which scores with up to PASS of them in
+    a pass over the records; the corpus tables are shared by all sets.
+    """
+    like: dict[str, list[tuple[int, Options]]] = {}
     for at, o in enumerate(configs):
-        one = summarised(evaluate(corpus, queries, o, k, boundary)).filter("slice = '(all)'").drop("slice").withColumn("config", F.lit(at))
-        out = one if out is None else out.unionByName(one)
+        o = o.normal()
+        like.setdefault(str(at) if o.use_fuzzy else repr(replace(o, bm25=Bm25())), []).append((at, o))  # a fuzzy search falls back where its own parameters find nothing
+    out = None
+    for sets in like.values():
+        shared = None if sets[0][1].use_fuzzy else Search(corpus, queries.select("qid", "text"), sets[0][1])
+        for i in range(0, len(sets), PASS):
+            part = dict(sets[i : i + PASS])
+            if shared is None:
+                rows = evaluate(corpus, queries, sets[0][1], k, boundary).withColumn("config", F.lit(sets[0][0]))
+            else:
+                found = bounded(shared.alternatives({at: o.bm25 for at, o in part.items()}), len(part) * shared.n_queries * shared.options.limit)
+                rows = per_query(judged(corpus.docs.select("doc_id", "command").join(found, "doc_id"), queries, boundary, list(part)), k)
+            one = rows.groupBy("config").agg(*_means()).withColumnRenamed("rr", "mrr")
+            out = one if out is None else out.unionByName(one)
+    out = out.select("n", "top1", "hit", "mrr", "ndcg_ref", "ndcg", "config")
     w = Window.orderBy(F.round("ndcg_ref", 6).desc(), F.round("hit", 6).desc(), F.round("top1", 6).desc(), "config")
     return out.withColumn("place", F.row_number().over(w))  # one row a parameter set
 

@@ -178,3 +178,23 @@ def test_a_feature_alone_is_the_same_and_makes_no_families(spark, corpus):
     near = sorted(alone.collect())
     assert s._families is None and "family" not in corpus.__dict__
     assert near == sorted(s.featured(found).select("qid", "doc_id", "proximity").collect()) and len(near) > 0
+
+
+def test_a_sweep_searches_once_for_sets_that_differ_in_bm25_only(spark, corpus, monkeypatch):
+    from dataclasses import replace
+
+    began, init = [], Search.__init__
+    monkeypatch.setattr(Search, "__init__", lambda self, *a, **k: (began.append(1), init(self, *a, **k))[1])
+    q = spark.createDataFrame([(1, "find files", "a", ["find"]), (2, "show status", "", ["status win"]), (3, "qqqq", "a", ["x"])], "qid long, text string, slice string, relevant array<string>")
+    base = Options(limit=3, all_platforms=True)
+    configs = [*evaluate.grid(base, k1=[0.9, 1.2], min_idf=[0.0, 1.5]), *evaluate.grid(base, w_desc=[9.0]), replace(base, use_nlp=False)]
+    got = {r["config"]: r for r in evaluate.sweep(corpus, q, configs).collect()}
+    assert len(began) == 2 and sorted(got) == list(range(6)) and sorted(r["place"] for r in got.values()) == list(range(1, 7))
+    for at in (0, 1, 5):  # one of each least idf, and the other search
+        one = evaluate.summarised(evaluate.evaluate(corpus, q, configs[at], boundary=True)).filter("slice = '(all)'").first()
+        assert all(abs(one[m] - got[at][m]) < 1e-9 for m in ("n", "top1", "hit", "mrr", "ndcg_ref", "ndcg"))
+    s = Search(corpus, q.select("qid", "text"), base)
+    both = s.alternatives({7: configs[1].bm25, 8: configs[0].bm25}).collect()
+    assert {r["config"] for r in both} == {7, 8}
+    alone = Search(corpus, q.select("qid", "text"), configs[1]).results().collect()
+    assert sorted((r["qid"], r["rank"], r["doc_id"], round(r["score"], 6)) for r in both if r["config"] == 7) == sorted((r["qid"], r["rank"], r["doc_id"], round(r["score"], 6)) for r in alone)
