@@ -171,7 +171,8 @@ def test_tables_of_a_corpus_lie_with_their_records(spark):
         assert lies.startswith("hashpartitioning(doc_id#"), lies
 
 
-def test_a_feature_alone_is_the_same_and_makes_no_families(spark, corpus):
+def test_a_feature_alone_is_the_same_and_makes_no_families(spark):
+    corpus = Corpus.of(spark.createDataFrame(ROWS, SCHEMA))  # no table is there yet
     s = Search(corpus, ask(spark, "find files by name", "show status"), Options(limit=5))
     found = s.candidates()
     alone = s.featured(found, ("proximity",)).select("qid", "doc_id", "proximity")
